@@ -2,12 +2,14 @@
 
 Pieces are dealt over partitions; each partition packs by best-fit decreasing and computes
 a lower bound on its bins from dual-feasible functions (threshold functions and the
-staircase functions u(k)). Where the bound meets the bin count, the partition is certified
-optimal and done. Partitions with a gap exchange documents: the pieces of their bins with
-free room meet those of other such partitions, and best-fit decreasing runs again; the new
-bins replace the old ones only where there are fewer. Rounds go on, each merging
-``FAN_IN`` gapped partitions, until no gap is left or one partition holds all that remains
-(or would exceed ``PART_PIECES`` pieces, the bound on a task's memory).
+staircase functions u(k)), which certifies how far its own packing is from the best. The
+same functions over the counts of all lengths bound the whole. While the whole has more
+bins than its bound, the partitions with free room have a gap and exchange documents: the
+pieces of their bins with room meet those of other such partitions, and best-fit
+decreasing runs again; the new bins replace the old ones only where there are fewer.
+Rounds go on, each merging ``FAN_IN`` gapped partitions, until the whole is certified or
+one partition holds all that remains (or would exceed ``PART_PIECES`` pieces, the bound on
+a task's memory). ``pack`` reports bins, bound and certified partitions of every round.
 
 Defined results: a null or empty text is one piece with only the end id; documents longer
 than the capacity are cut into full pieces and a rest; null ids and repeated rows are
@@ -62,13 +64,18 @@ def cut_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = No
 
 def lower_bound(lengths: np.ndarray, capacity: int, steps: int = 60) -> int:
     """The best bound on the number of bins that the dual-feasible functions give."""
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity, steps)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int, steps: int = 60) -> int:
+    """``lower_bound`` of so many pieces of each length 0..capacity."""
+    count = count.astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     mass, number = np.concatenate([[0], np.cumsum(count * size)]), np.concatenate([[0], np.cumsum(count)])
     cut = np.arange(0, capacity // 2 + 1)
     # Above capacity - cut a piece counts as a whole bin, below cut as nothing.
     whole = (number[-1] - number[capacity - cut + 1]) * capacity + mass[capacity - cut + 1] - mass[cut]
-    best = int(-(-whole.max() // capacity)) if len(lengths) else 0
+    best = int(-(-whole.max() // capacity)) if count.any() else 0
     for k in range(1, steps + 1):
         scaled = (k + 1) * size
         stair = np.where(scaled % capacity == 0, k * size, capacity * (scaled // capacity))
@@ -128,16 +135,21 @@ def pack(pieces: DataFrame, capacity: int = 2048, part_pieces: int = PART_PIECES
     The result has the pieces' columns, ``sequence_id`` and ``offset``.
     """
     pieces, _ = scratch.save(pieces, "op3-pieces")
-    n = pieces.count()
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in pieces.groupBy("length").count().collect():  # one row per length up to the capacity
+        counts[row["length"]] = row["count"]
+    n, least = int(counts.sum()), bound_of_counts(counts, capacity)
     parts = max(1, math.ceil(n / part_pieces))
     keys = [F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("piece"), F.col("ids_crc32")]
     current = scratch.saved(_packed(pieces.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts))), capacity), "op3-packed")
-    done, report = [], []
+    done, report, closed = [], [], 0
     for turn in range(rounds + 1):
-        open_parts = _parts(current).where("n_bins > bound and loose > 0")
-        summary = _parts(current).agg(F.sum("n_bins").alias("bins"), F.sum("bound").alias("bound"), F.count("*").alias("parts")).first()
+        summary = _parts(current).agg(F.sum("n_bins").alias("bins"), F.sum((F.col("n_bins") <= F.col("bound")).cast("long")).alias("certified"), F.count("*").alias("parts")).first()
+        # While the whole is not certified, a certified partition still has a gap if some of its bins have room.
+        total = closed + (summary["bins"] or 0)
+        open_parts = _parts(current).where("loose > 0" if total > least else "false")
         gapped = open_parts.agg(F.count("*").alias("parts"), F.sum("loose").alias("loose")).first()
-        report.append({"round": turn, "bins": summary["bins"] or 0, "bound": summary["bound"] or 0, "parts": summary["parts"], "gapped": gapped["parts"]})
+        report.append({"round": turn, "bins": total, "bound": least, "parts": summary["parts"], "certified": summary["certified"] or 0, "gapped": gapped["parts"]})
         merged = max(1, math.ceil(gapped["parts"] / FAN_IN), math.ceil((gapped["loose"] or 0) / part_pieces))
         if turn == rounds or gapped["parts"] < 2 or merged >= gapped["parts"]:
             break
@@ -151,7 +163,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, part_pieces: int = PART_PIECES
         better = scratch.saved(before.join(after, "target").where("new < old").select("target", F.lit(True).alias("won")), "op3-better")
         stay = marked.where("open is null or free = 0").drop("open")
         lost = moving.join(better, "target", "left_anti").drop("target")
-        done.append(_numbered(stay.unionByName(lost), turn))
+        fixed = _numbered(stay.unionByName(lost), turn)
+        closed += fixed.select("sequence_id").distinct().count()
+        done.append(fixed)
         current = scratch.saved(again.join(better.withColumnRenamed("target", "part"), "part", "left_semi"), "op3-current")
     out = _numbered(current, len(report))
     for part in done:
