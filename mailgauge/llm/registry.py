@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailgauge.llm import exact_dedup, ngram_join, packing, sharding, token_files
+from mailgauge.llm import exact_dedup, ngram_join, packing, sharding, token_files, vector_join
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_files": token_files.query,
         "op2_feistel_shards": sharding.query,
         "op3_best_fit_packing": packing.query,
+        "op5_vector_join": vector_join.query,
         "op8_ngram_jaccard": ngram_join.query,
         "op10_exact_dedup": exact_dedup.query,
     }
