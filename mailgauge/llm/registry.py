@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailgauge.llm import exact_dedup, ngram_join, packing, sharding, token_files, vector_join
+from mailgauge.llm import exact_dedup, ngram_join, packing, sharding, token_files, toxicity, vector_join
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_feistel_shards": sharding.query,
         "op3_best_fit_packing": packing.query,
         "op5_vector_join": vector_join.query,
+        "op6_toxicity": toxicity.query,
         "op8_ngram_jaccard": ngram_join.query,
         "op10_exact_dedup": exact_dedup.query,
     }
