@@ -43,7 +43,7 @@ def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", tex
     found = _joined(narrow, single, ["hash"])
     if collided:  # rows of a shared hash find their text's group by a second digest
         mixed = rows.join(shared, "hash", "left_semi").withColumn("text_sha256", F.sha2("text", 256)).select("hash", "text_sha256", "doc_id")
-        found = found.unionByName(mixed.join(groups.join(shared, "hash", "left_semi"), ["hash", "text_sha256"]).select(*found.columns))
+        found = found.unionByName(_joined(mixed, groups.join(shared, "hash", "left_semi"), ["hash", "text_sha256"]))
     return found
 
 

@@ -129,9 +129,10 @@ def _parts(df: DataFrame):
     return df.groupBy("part").agg(F.first("n_bins").alias("n_bins"), F.first("bound").alias("bound"), F.sum((F.col("free") > 0).cast("long")).alias("loose"))
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, part_pieces: int = PART_PIECES, rounds: int = 6) -> tuple[DataFrame, list[dict]]:
+def pack(pieces: DataFrame, capacity: int = 2048, part_pieces: int = PART_PIECES, rounds: int = 6, most_pieces: int = PART_PIECES) -> tuple[DataFrame, list[dict]]:
     """Place all pieces; also return, per round, the bins and the certified bound of what was packed.
 
+    ``part_pieces`` is the size partitions start with, ``most_pieces`` the size merged ones may reach.
     The result has the pieces' columns, ``sequence_id`` and ``offset``.
     """
     pieces, _ = scratch.save(pieces, "op3-pieces")
@@ -150,7 +151,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, part_pieces: int = PART_PIECES
         open_parts = _parts(current).where("loose > 0" if total > least else "false")
         gapped = open_parts.agg(F.count("*").alias("parts"), F.sum("loose").alias("loose")).first()
         report.append({"round": turn, "bins": total, "bound": least, "parts": summary["parts"], "certified": summary["certified"] or 0, "gapped": gapped["parts"]})
-        merged = max(1, math.ceil(gapped["parts"] / FAN_IN), math.ceil((gapped["loose"] or 0) / part_pieces))
+        merged = max(1, math.ceil(gapped["parts"] / FAN_IN), math.ceil((gapped["loose"] or 0) / most_pieces))
         if turn == rounds or gapped["parts"] < 2 or merged >= gapped["parts"]:
             break
         # Documents of loose bins meet those of other gapped partitions; full bins and certified partitions stay.
