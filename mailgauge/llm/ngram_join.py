@@ -39,29 +39,50 @@ from pyspark.sql import functions as F
 
 from mailgauge.llm import scratch
 from mailgauge.llm.components import components
-from mailgauge.llm.wordcoder import text_bytes
 
-SKETCH, CHUNKS = 1 << 22, 64
+SKETCH, CHUNKS = 1 << 21, 64
 FRAGMENTS = 8
 HUB_TURNS, PAIRS_PER_ROW = 4, 4
 #: Bits of the filter that keeps texts without candidates out of the counting pass: 4 MB.
 FILTER_BITS = 1 << 25
-_WORDS = 300_000
+_WORDS = 200_000
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+@lru_cache(maxsize=1)
+def _hashes() -> dict[bytes, int]:
+    """64-bit hashes of the words a worker met last."""
+    return {}
 
-        if len(self) > _WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
 
+def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts of an Arrow column, one text after another, and each text's bounds."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    import xxhash
 
-@lru_cache(maxsize=1)
-def _hashes() -> _WordHashes:
-    return _WordHashes()
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.string()).fill_null("")))
+    coded = pc.dictionary_encode(split.flatten().cast(pa.binary()))
+    words, known = coded.dictionary.to_pylist(), _hashes()
+    if len(known) > _WORDS:
+        known.clear()
+    for word in words:
+        if word not in known:
+            known[word] = xxhash.xxh3_64_intdigest(word)
+    own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    at, bounds = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+    bounds = bounds - bounds[0]
+    if b"" in known and b"" in words:  # white space at the ends of a text
+        full = at != words.index(b"")
+        bounds = np.concatenate([[0], np.cumsum(full)])[bounds]
+        at = at[full]
+    return own[at], bounds
+
+
+def _small(batches, rows: int = 1_000):
+    """Arrow batches in slices, so that few texts are in hand at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,26 +91,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(text: bytes, width: int) -> tuple[np.ndarray, list[bytes]]:
-    """Sorted distinct 64-bit hashes of a text's shingles, and its words."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64), words
-    own = np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
-    width = min(width, len(words))
-    n = len(words) - width + 1
+def _grams(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words."""
+    n = max(0, len(words) - width + 1)
     out = np.full(n, 0x9E3779B97F4A7C15 + width, np.uint64)
     for k in range(width):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
         out ^= out >> np.uint64(29)
-    out = _mixed(out)
-    return np.unique(out), words
+    return _mixed(out)
 
 
-def _class_hash(words: list[bytes]) -> bytes:
+def shingle_sets(column, width: int):
+    """Per text of a column: sorted distinct shingle hashes and the class of its word sequence."""
     import xxhash
 
-    return xxhash.xxh3_128_digest(b" ".join(words))
+    words, bounds = word_hashes(column)
+    grams = _grams(words, width)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = grams[a : b - width + 1] if b - a >= width else _grams(words[a:b], b - a) if b > a else grams[:0]
+        yield np.unique(own), xxhash.xxh3_128_digest(words[a:b].tobytes())
 
 
 def _ordered(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -106,16 +126,13 @@ def _levels(docs: DataFrame, width: int) -> np.ndarray:
         import pyarrow as pa
         import zstandard
 
-        seen, held, n = np.zeros(SKETCH, np.uint32), [], 0
-        for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                held.append((shingle_hashes(text, width)[0] & np.uint64(SKETCH - 1)).astype(np.int64))
-                n += len(held[-1])
-                if n > SKETCH // 2:
-                    seen += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
-                    held, n = [], 0
-        if held:
-            seen += np.bincount(np.concatenate(held), minlength=SKETCH).astype(np.uint32)
+        seen = np.zeros(SKETCH, np.uint32)
+        for batch in _small(batches):
+            words, bounds = word_hashes(batch.column(0))
+            lens = np.diff(bounds)
+            inside = np.arange(len(words)) < np.repeat(bounds[1:] - np.minimum(width, lens) + 1, lens)  # the text's last shingle and those before
+            grams = _grams(words, width)
+            seen += np.bincount((grams[inside[: len(grams)]] & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
         if seen.any():
             blobs = [zstandard.compress(seen[k * step : (k + 1) * step].tobytes()) for k in range(CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "counts"])
@@ -151,11 +168,9 @@ def _members(docs: DataFrame, width: int, num: int, den: int, level) -> DataFram
         import pyarrow as pa
 
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in _small(batches):
             sizes, classes, firsts = [], [], []
-            for text in text_bytes(batch.column(1)):
-                hashes, words = shingle_hashes(text, width)
-                key = _class_hash(words)
+            for hashes, key in shingle_sets(batch.column(1), width):
                 sizes.append(len(hashes))
                 classes.append(key)
                 if not len(hashes) or key in seen:
@@ -215,13 +230,11 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, nu
         import pyarrow as pa
 
         seen: set = set()
-        for batch in batches:
+        for batch in _small(batches):
             at = _filter_bits(batch.column(0).fill_null(_NO_ID).to_numpy())
             part = batch.filter(pa.array((sent.value[at >> 3] >> (at & 7)) & 1 == 1))
             classes, fragments, segments = [], [], []
-            for text in text_bytes(part.column(1)):
-                hashes, words = shingle_hashes(text, width)
-                key = _class_hash(words)
+            for hashes, key in shingle_sets(part.column(1), width):
                 if key in seen:
                     continue
                 if len(seen) > 100_000:
@@ -233,9 +246,6 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, nu
                         classes.append(key)
                         fragments.append(k)
                         segments.append(own)
-                if len(segments) > 5_000:
-                    yield _segments(classes, fragments, segments)
-                    classes, fragments, segments = [], [], []
             if segments:
                 yield _segments(classes, fragments, segments)
 

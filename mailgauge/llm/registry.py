@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailgauge.llm import exact_dedup, ngram_join, packing, sharding, token_files, toxicity, vector_join
+from mailgauge.llm import exact_dedup, ngram_join, packing, pii, sharding, token_files, toxicity, vector_join
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.query,
         "op5_vector_join": vector_join.query,
         "op6_toxicity": toxicity.query,
+        "op7_pii": pii.query,
         "op8_ngram_jaccard": ngram_join.query,
         "op10_exact_dedup": exact_dedup.query,
     }

@@ -12,7 +12,7 @@ A file set is a folder with ``ranks`` (id, rank; as many rows as the vocabulary)
 so a lost executor leaves no half-written segment.
 
 Defined results: a null text is an empty text (it has only the end id); a null document id
-sorts first; rows that repeat an id are ordered by checksum and count, and all stay; an
+sorts first; rows that repeat an id are ordered by length and ids, and all stay; an
 empty table gives no segments. Only the two named columns are read, so other columns may
 have any names.
 """
@@ -35,7 +35,7 @@ PART_IDS, MAX_PARTS = 4_000_000, 20_000
 
 _LENS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
-_ENCODED = "doc_id long, n_tokens long, ids_crc32 long, planes binary"
+_ENCODED = "doc_id long, n_tokens long, ids binary"
 _SEGMENT = "part int, segment int, base long, n_docs long, n_ids long, id_nulls binary, doc_ids binary, lengths binary, control binary, data binary"
 
 
@@ -46,7 +46,8 @@ def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = sizes - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < sizes[:, None]]
+    widest = int(sizes.max(initial=1))
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :widest][np.arange(widest) < sizes[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -61,46 +62,47 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return words[ends - lens] & _MASKS[lens]
 
 
-def _planes(ids: np.ndarray, width: int) -> bytes:
-    """Ids byte plane by byte plane, which compresses better than id by id."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+def _kind(vocab: int) -> str:
+    """numpy type of an id on the way to its segment."""
+    return "<u2" if vocab <= 1 << 16 else "<u4"
 
 
-def _from_planes(blob: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(blob) // width, 4), np.uint8)
-    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
-    return out.view("<u4").ravel()
+def _blobs(ids: np.ndarray, offsets: np.ndarray):
+    """Arrow binary column of the ids of documents that lie one after another."""
+    import pyarrow as pa
 
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * ids.itemsize).astype("<i8")), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
 
-def _width(vocab: int) -> int:
-    return max(1, (max(vocab - 1, 1).bit_length() + 7) // 8)
 
+def _flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all documents of a binary column, and where each begins and ends."""
+    size = np.dtype(kind).itemsize
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    wide = str(column.type) == "large_binary"
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, "<i8" if wide else "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, kind, count=int(offsets[-1] - offsets[0]) // size, offset=int(offsets[0])), (offsets - offsets[0]) // size
 
-def encode_table(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, number of ids with the end id, their checksum, the ids."""
+
+def encode_table(docs: DataFrame, tokenizer: str, end_id: int, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, number of ids with the end id, the ids as bytes."""
 
     def run(batches):
         import pyarrow as pa
 
         code = coder(tokenizer)
         for batch in batches:
-            texts = text_bytes(batch.column(1))
-            for at, ids, offsets in code.encode(texts):
+            for at, ids, offsets in code.encode(text_bytes(batch.column(1))):
                 n = len(offsets) - 1
-                sums, blobs = [], []
-                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                    own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
-                    sums.append(zlib.crc32(own.tobytes()))
-                    blobs.append(_planes(own, width))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(np.diff(offsets) + 1, pa.int64()), pa.array(sums, pa.int64()), pa.array(blobs, pa.binary())],
-                    ["doc_id", "n_tokens", "ids_crc32", "planes"],
-                )
+                ended = np.insert(ids.astype(kind), offsets[1:], np.dtype(kind).type(end_id))
+                own = offsets + np.arange(n + 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.diff(own)), _blobs(ended, own)], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _ENCODED)
 
 
-def _ranks(encoded: DataFrame, vocab: int, width: int) -> np.ndarray:
+def _ranks(encoded: DataFrame, vocab: int, kind: str) -> np.ndarray:
     """Rank of each id over all documents. Only one count per vocabulary id reaches the driver."""
 
     def count(batches):
@@ -108,13 +110,12 @@ def _ranks(encoded: DataFrame, vocab: int, width: int) -> np.ndarray:
 
         seen = np.zeros(vocab, np.int64)
         for batch in batches:
-            blobs = batch.column(0).to_pylist()
-            seen += np.bincount(np.concatenate([_from_planes(b, width) for b in blobs]) if blobs else np.zeros(0, int), minlength=vocab)
+            seen += np.bincount(_flat(batch.column(0), kind)[0], minlength=vocab)
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(seen[there], pa.int64())], ["id", "n"])
 
     total = np.zeros(vocab, np.int64)
-    for row in encoded.select("planes").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         total[row["id"]] = row["n"]
     ranks = np.empty(vocab, np.uint32)
     ranks[np.lexsort((np.arange(vocab), -total))] = np.arange(vocab, dtype=np.uint32)
@@ -125,9 +126,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     """Encode all texts and write the file set to ``path`` (a folder that does not exist yet)."""
     spark, tokenizer = docs.sparkSession, tokenizer or default_path()
     vocab = max(coder(tokenizer).vocab_size, end_id + 1)
-    width = _width(vocab)
-    encoded, temp = scratch.save(encode_table(docs, tokenizer, end_id, width, id_col, text_col), "op1-encoded")
-    ranks = _ranks(encoded, vocab, width)
+    kind = _kind(vocab)
+    encoded, temp = scratch.save(encode_table(docs, tokenizer, end_id, kind, id_col, text_col), "op1-encoded")
+    ranks = _ranks(encoded, vocab, kind)
     spark.createDataFrame([(int(i), int(r)) for i, r in enumerate(ranks)], "id long, rank long").coalesce(1).write.parquet(f"{path}/ranks")
 
     n_ids = encoded.agg(F.sum("n_tokens")).first()[0] or 0
@@ -135,13 +136,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     cuts = [k / parts for k in range(1, parts)]
     bounds = np.array((encoded.agg(F.percentile_approx("doc_id", cuts, 100_000)).first()[0] if cuts else None) or [], np.int64)
 
+    small = ranks.astype(kind)
+
     def rank(batches):
         import pyarrow as pa
 
         for batch in batches:
             places = np.searchsorted(bounds, batch.column(0).fill_null(-(2**63)).to_numpy())
-            blobs = [_planes(ranks[_from_planes(b, width)], width) for b in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary()), pa.array(places, pa.int32())], ["doc_id", "n_tokens", "ids_crc32", "planes", "place"])
+            ids, offsets = _flat(batch.column(2), kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _blobs(small[ids], offsets), pa.array(places, pa.int32())], ["doc_id", "n_tokens", "ids", "place"])
 
     def write(batches):
         import pyarrow as pa
@@ -160,8 +163,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in _SEGMENT.split(", ")])
 
         for batch in batches:
-            for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = _from_planes(blob, width)
+            ids, offsets = _flat(batch.column(1), kind)
+            for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                own = ids[a:b]
                 if held and n + len(own) > SEGMENT_IDS:
                     yield flush()
                 held.append((doc, own))
@@ -172,8 +176,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     (
         encoded.mapInArrow(rank, f"{_ENCODED}, place int")
         .repartitionById(parts, "place")
-        .sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids_crc32", "n_tokens")
-        .select("doc_id", "planes")
+        .sortWithinPartitions(F.asc_nulls_first("doc_id"), "n_tokens", "ids")
+        .select("doc_id", "ids")
         .mapInArrow(write, _SEGMENT)
         .write.option("compression", "zstd")
         .parquet(f"{path}/segments")
