@@ -6,8 +6,8 @@ aggregates before the shuffle, so a text that a third of all rows share costs on
 map task. Decisions go back to the rows by hash alone; only if some hash has several
 texts do the rows of those hashes go back by hash and SHA-256.
 
-A group's rows could all sit at one hash: hashes of more than 1/``HOT_PARTS`` of all rows
-(so fewer than ``HOT_PARTS`` of them) are joined by broadcast, all others by shuffle.
+Groups with a large share of all rows (a bounded number of them) are joined by broadcast, all
+others by shuffle (``group_join``).
 
 Defined results: a null text equals an empty one; ``keep`` picks the smallest or the largest
 id, null ids lose to any id; of rows that repeat both id and text one is kept; an empty table gives
@@ -20,8 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgauge.llm import scratch
-
-HOT_PARTS = 1024
+from mailgauge.llm.group_join import join_groups
 
 
 def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text", content_hash=F.md5) -> DataFrame:
@@ -48,15 +47,9 @@ def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", tex
 
 
 def _joined(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    hot = groups.where(F.col("group_size") * HOT_PARTS > total) if total > HOT_PARTS else groups.limit(0)
-    hot_keys = F.broadcast(hot.select(*on, F.lit(True).alias("is_hot")))
-    # Repeats of one id and text are one line with a count until the end; hot groups spread over ids.
+    # Repeats of one id and text are one line with a count until the end.
     counted = rows.groupBy(*on, "doc_id").agg(F.count("*").alias("copies"))
-    marked = counted.join(hot_keys, on, "left")
-    near = marked.where("is_hot").drop("is_hot").join(F.broadcast(hot), on)
-    far = marked.where("is_hot is null").drop("is_hot").join(groups, on)
-    out = near.unionByName(far).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = join_groups(counted, groups, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     kept: Column = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailgauge.llm import exact_dedup, ngram_join, packing, pii, sharding, token_files, toxicity, vector_join
+from mailgauge.llm import exact_dedup, ngram_join, packing, pii, secrets, sharding, token_files, toxicity, vector_join
 
 
 def queries() -> dict:
@@ -14,9 +14,10 @@ def queries() -> dict:
         "op6_toxicity": toxicity.query,
         "op7_pii": pii.query,
         "op8_ngram_jaccard": ngram_join.query,
+        "op9_secrets": secrets.query,
         "op10_exact_dedup": exact_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op9_secrets": secrets.oracle(), "op10_exact_dedup": exact_dedup.ORACLE}
