@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailgauge.llm import exact_dedup, ngram_join, packing, pii, secrets, sharding, token_files, toxicity, vector_join
+from mailgauge.llm import exact_dedup, ngram_join, packing, pieces, pii, secrets, sharding, token_files, toxicity, vector_join
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_files": token_files.query,
         "op2_feistel_shards": sharding.query,
         "op3_best_fit_packing": packing.query,
+        "op4_sentencepiece": pieces.query,
         "op5_vector_join": vector_join.query,
         "op6_toxicity": toxicity.query,
         "op7_pii": pii.query,
