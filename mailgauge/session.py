@@ -23,3 +23,24 @@ def local_session(name: str = "mailgauge", cores: int | str = "*", shuffle_parti
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per Spark application: their workers need not have it on their path."""
+    import os
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if not getattr(sc, "_mailgauge_shipped", False):
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="mailgauge-code-"), "mailgauge.zip")  # the driver serves it from here
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.join("mailgauge", os.path.relpath(full, root)))
+        sc.addPyFile(path)
+        sc._mailgauge_shipped = True
+    return spark
