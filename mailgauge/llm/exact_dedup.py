@@ -57,12 +57,16 @@ def _joined(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
 def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
     """``docs`` without the copies: of equal texts the row with the smallest (largest) doc_id stays.
 
-    Whole rows that repeat id and text keep one of them.
+    Of rows that repeat id and text any one stays.
     """
-    stay = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    groups = scratch.saved(exact_groups(docs, keep).where("kept"), "op10-kept")
+    stay = groups.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     own = docs.withColumn("_sha", F.sha2(scratch.text_or_empty(), 256))
-    once = own.join(stay, own["doc_id"].eqNullSafe(stay["_id"]) & (own["_sha"] == stay["_sha"]), "left_semi")
-    return once.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    once = own.join(stay.withColumnRenamed("_sha", "_of"), own["doc_id"].eqNullSafe(F.col("_id")) & (own["_sha"] == F.col("_of")), "left_semi")
+    repeated = groups.where("group_size > 1").join(docs.select("doc_id").groupBy("doc_id").count().where("count > 1"), "doc_id", "left_semi")
+    if not repeated.isEmpty() or not groups.where("doc_id IS NULL").isEmpty():  # else no row of a kept id and text repeats
+        once = once.dropDuplicates(["doc_id", "_sha"])
+    return once.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,12 @@
    words. A class carries its first shingles in the order: as many as it takes that two
    sets which reach the threshold share one of them.
 3. *Candidates.* Classes that share such a shingle, and whose sizes and places there allow the
-   threshold, are candidates. In hub turns, each shingle's class with the fewest rarer
-   shingles before it is set against the classes of other components; links found join
-   components. Turns go on while the pairs left between components are many
-   (``PAIRS_PER_ROW``, at most ``HUB_TURNS``); then all that are left are compared. So a large
-   group of near copies costs stars, not all its pairs, and no link between two components
-   is missed.
+   threshold, are candidates if they share enough of their first shingles. In hub turns, each
+   shingle's class with the fewest rarer shingles before it is set against the classes of
+   other components; links found join components. Turns go on while the pairs left between
+   components are many (``PAIRS_PER_ROW``, at most ``HUB_TURNS``); then all that are left are
+   compared. So a large group of near copies costs stars, not all its pairs, and no link
+   between two components is missed.
 4. *Fragments.* The global order is cut into ``FRAGMENTS`` ranges. Each candidate class's
    shingles are cut along them, overlaps are counted apart in each fragment and summed per
    pair; a pair links when ``den * overlap >= num * (size_a + size_b - overlap)``.
@@ -42,7 +42,7 @@ from mailgauge.llm.components import components
 
 SKETCH, CHUNKS = 1 << 21, 64
 FRAGMENTS = 8
-HUB_TURNS, PAIRS_PER_ROW = 4, 4
+HUB_TURNS, PAIRS_PER_ROW = 4, 8
 #: Bits of the filter that keeps texts without candidates out of the counting pass: 4 MB.
 FILTER_BITS = 1 << 25
 _WORDS = 200_000
@@ -101,21 +101,25 @@ def _grams(words: np.ndarray, width: int) -> np.ndarray:
     return _mixed(out)
 
 
-def shingle_sets(column, width: int):
-    """Per text of a column: sorted distinct shingle hashes and the class of its word sequence."""
+def shingle_sets(column, width: int, level: np.ndarray):
+    """Per text of a column: its shingles' places in the global order, sorted, and the class of its word sequence.
+
+    A place is the count class of the shingle's bucket, then 57 bits of its hash, as a non-negative long.
+    """
     import xxhash
 
     words, bounds = word_hashes(column)
-    grams = _grams(words, width)
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        own = grams[a : b - width + 1] if b - a >= width else _grams(words[a:b], b - a) if b > a else grams[:0]
-        yield np.unique(own), xxhash.xxh3_128_digest(words[a:b].tobytes())
 
+    def places(grams):
+        classes = level[(grams & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
+        return ((classes << np.uint64(57)) | (grams >> np.uint64(7))).view(np.int64)
 
-def _ordered(hashes: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Places in the global order: count class of the bucket, then the hash, as signed longs in that order."""
-    place = (level[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (hashes >> np.uint64(7))
-    return np.sort(place.astype(np.int64))
+    found = places(_grams(words, width))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own = np.sort(found[a : b - width + 1] if b - a >= width else places(_grams(words[a:b], b - a)) if b > a else found[:0])
+        if len(own) > 1:
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        yield own, xxhash.xxh3_128_digest(words[a:b].tobytes())
 
 
 def _levels(docs: DataFrame, width: int) -> np.ndarray:
@@ -170,16 +174,17 @@ def _members(docs: DataFrame, width: int, num: int, den: int, level) -> DataFram
         seen: set[bytes] = set()
         for batch in _small(batches):
             sizes, classes, firsts = [], [], []
-            for hashes, key in shingle_sets(batch.column(1), width):
-                sizes.append(len(hashes))
+            for places, key in shingle_sets(batch.column(1), width, level.value):
+                n = len(places)
+                sizes.append(n)
                 classes.append(key)
-                if not len(hashes) or key in seen:
+                if not n or key in seen:
                     firsts.append(None)
                     continue
                 if len(seen) > 100_000:
                     seen.clear()
                 seen.add(key)
-                firsts.append(_ordered(hashes, level.value)[: len(hashes) - _least_overlap(len(hashes), num, den) + 1])
+                firsts.append(places[: n - _least_overlap(n, num, den) + 1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
                 ["doc_id", "class", "n", "first"],
@@ -196,10 +201,22 @@ def _may_link(num: int, den: int):
 
 
 def _pairs(x: DataFrame, y: DataFrame, condition) -> DataFrame:
+    """Pairs of nodes that meet in the shingles of both sides, with the number of those shingles."""
     met = x.alias("x").join(y.alias("y"), (F.col("x.place") == F.col("y.place")) & condition)
     small = F.col("x.node") < F.col("y.node")
     pick = lambda c, first: F.when(small == F.lit(first), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
-    return met.select(pick("node", True).alias("a"), pick("node", False).alias("b"), pick("n", True).alias("na"), pick("n", False).alias("nb")).distinct()
+    met = met.select(pick("node", True).alias("a"), pick("node", False).alias("b"), pick("n", True).alias("na"), pick("n", False).alias("nb"))
+    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+
+
+def _enough_first(num: int, den: int):
+    """Whether ``shared``, the number of shared first shingles, leaves room for the threshold.
+
+    A shared shingle is in both first parts or lies behind the one that ends earlier, so the overlap is at most ``shared``
+    and what lies behind the first part of one of the two.
+    """
+    behind = lambda n: F.ceil(F.col(n) * num / den) - 1
+    return (F.col("shared") + F.greatest(behind("na"), behind("nb"))) * (num + den) >= (F.col("na") + F.col("nb")) * num
 
 
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int, den: int, level) -> DataFrame:
@@ -234,13 +251,12 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, nu
             at = _filter_bits(batch.column(0).fill_null(_NO_ID).to_numpy())
             part = batch.filter(pa.array((sent.value[at >> 3] >> (at & 7)) & 1 == 1))
             classes, fragments, segments = [], [], []
-            for hashes, key in shingle_sets(part.column(1), width):
+            for places, key in shingle_sets(part.column(1), width, level.value):
                 if key in seen:
                     continue
                 if len(seen) > 100_000:
                     seen.clear()
                 seen.add(key)
-                places = _ordered(hashes, level.value)
                 for k, own in enumerate(np.split(places, np.searchsorted(places, pivots))):
                     if len(own):
                         classes.append(key)
@@ -304,13 +320,17 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
             break
         last = turn == HUB_TURNS or left["pairs"] <= PAIRS_PER_ROW * left["rows"]
         if last:
-            pairs = _pairs(index, index, may & (F.col("x.comp") < F.col("y.comp")))
+            pairs = _pairs(index, index, may & (F.col("x.comp") < F.col("y.comp"))).where(_enough_first(num, den))
         else:
             hubs = index.groupBy("place").agg(F.min(F.struct("pos", "node", "n", "comp")).alias("hub")).select("place", "hub.*")
-            pairs = _pairs(index, hubs, may & (F.col("x.comp") != F.col("y.comp")))
+            pairs = _pairs(index, hubs, may & (F.col("x.comp") != F.col("y.comp"))).drop("shared")
+            # A pair met only where one side is the hub: all shared first shingles count.
+            for side in "ab":
+                pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("first").alias(f"first_{side}")), side)
+            pairs = pairs.withColumn("shared", F.size(F.array_intersect("first_a", "first_b"))).where(_enough_first(num, den))
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = scratch.saved(pairs, "op8-pairs")
+        pairs = scratch.saved(pairs.select("a", "b", "na", "nb"), "op8-pairs")
         found = scratch.saved(_links(docs, classes, pairs, width, num, den, level), "op8-links")
         links = found if links is None else links.unionByName(found)
         checked = pairs.select("a", "b") if checked is None else checked.unionByName(pairs.select("a", "b"))
@@ -336,8 +356,10 @@ def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int =
 
     Rows without an id stay: nothing tells which of them to keep.
     """
-    groups = jaccard_groups(docs, width, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(groups, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    heads = scratch.saved(jaccard_groups(docs, width, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_id")), "op8-heads")
+    named = docs.where("doc_id IS NOT NULL").join(heads, F.col("doc_id") == F.col("_id"), "left_semi")
+    if not heads.groupBy("_id").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 

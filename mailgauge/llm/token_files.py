@@ -35,7 +35,7 @@ PART_IDS, MAX_PARTS = 4_000_000, 20_000
 
 _LENS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
-_ENCODED = "doc_id long, n_tokens long, ids binary"
+_ENCODED = "doc_id long, n_tokens long, low binary, high binary"
 _SEGMENT = "part int, segment int, base long, n_docs long, n_ids long, id_nulls binary, doc_ids binary, lengths binary, control binary, data binary"
 
 
@@ -63,30 +63,43 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _kind(vocab: int) -> str:
-    """numpy type of an id on the way to its segment."""
-    return "<u2" if vocab <= 1 << 16 else "<u4"
+    """numpy type of what an id has above its low byte, on the way to its segment."""
+    return "<u1" if vocab <= 1 << 16 else "<u4"
 
 
-def _blobs(ids: np.ndarray, offsets: np.ndarray):
-    """Arrow binary column of the ids of documents that lie one after another."""
+def _binary(values: np.ndarray, offsets: np.ndarray):
+    """Arrow binary column of the values of documents that lie one after another."""
     import pyarrow as pa
 
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * ids.itemsize).astype("<i8")), pa.py_buffer(np.ascontiguousarray(ids))]).cast(pa.binary())
+    values = np.ascontiguousarray(values)
+    places = pa.py_buffer((offsets * values.itemsize).astype("<i8"))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, places, pa.py_buffer(values)]).cast(pa.binary())
 
 
-def _flat(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all documents of a binary column, and where each begins and ends."""
+def _planes(ids: np.ndarray, offsets: np.ndarray, kind: str) -> list:
+    """Low bytes and the rest as two columns, which compress better apart."""
+    return [_binary(ids.astype("<u1"), offsets), _binary((ids >> 8).astype(kind), offsets)]
+
+
+def _values(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
     size = np.dtype(kind).itemsize
     if not len(column):
         return np.zeros(0, kind), np.zeros(1, np.int64)
-    wide = str(column.type) == "large_binary"
     _, offsets, data = column.buffers()
+    wide = str(column.type) == "large_binary"
     offsets = np.frombuffer(offsets, "<i8" if wide else "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(data, kind, count=int(offsets[-1] - offsets[0]) // size, offset=int(offsets[0])), (offsets - offsets[0]) // size
+    n = int(offsets[-1] - offsets[0]) // size
+    return np.frombuffer(data, kind, count=n, offset=int(offsets[0])) if n else np.zeros(0, kind), (offsets - offsets[0]) // size
+
+
+def _flat(low, high, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all documents of the two columns, and where each begins and ends."""
+    values, offsets = _values(low, "<u1")
+    return values.astype(np.uint32) | (_values(high, kind)[0].astype(np.uint32) << np.uint32(8)), offsets
 
 
 def encode_table(docs: DataFrame, tokenizer: str, end_id: int, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, number of ids with the end id, the ids as bytes."""
+    """One row per document: id, number of ids with the end id, the ids in two planes."""
 
     def run(batches):
         import pyarrow as pa
@@ -95,9 +108,9 @@ def encode_table(docs: DataFrame, tokenizer: str, end_id: int, kind: str, id_col
         for batch in batches:
             for at, ids, offsets in code.encode(text_bytes(batch.column(1))):
                 n = len(offsets) - 1
-                ended = np.insert(ids.astype(kind), offsets[1:], np.dtype(kind).type(end_id))
+                ended = np.insert(ids, offsets[1:], np.uint32(end_id))
                 own = offsets + np.arange(n + 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.diff(own)), _blobs(ended, own)], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.diff(own)), *_planes(ended, own, kind)], ["doc_id", "n_tokens", "low", "high"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _ENCODED)
 
@@ -110,12 +123,12 @@ def _ranks(encoded: DataFrame, vocab: int, kind: str) -> np.ndarray:
 
         seen = np.zeros(vocab, np.int64)
         for batch in batches:
-            seen += np.bincount(_flat(batch.column(0), kind)[0], minlength=vocab)
+            seen += np.bincount(_flat(batch.column(0), batch.column(1), kind)[0], minlength=vocab)
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(seen[there], pa.int64())], ["id", "n"])
 
     total = np.zeros(vocab, np.int64)
-    for row in encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in encoded.select("low", "high").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         total[row["id"]] = row["n"]
     ranks = np.empty(vocab, np.uint32)
     ranks[np.lexsort((np.arange(vocab), -total))] = np.arange(vocab, dtype=np.uint32)
@@ -136,15 +149,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     cuts = [k / parts for k in range(1, parts)]
     bounds = np.array((encoded.agg(F.percentile_approx("doc_id", cuts, 100_000)).first()[0] if cuts else None) or [], np.int64)
 
-    small = ranks.astype(kind)
-
     def rank(batches):
         import pyarrow as pa
 
         for batch in batches:
             places = np.searchsorted(bounds, batch.column(0).fill_null(-(2**63)).to_numpy())
-            ids, offsets = _flat(batch.column(2), kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _blobs(small[ids], offsets), pa.array(places, pa.int32())], ["doc_id", "n_tokens", "ids", "place"])
+            ids, offsets = _flat(batch.column(2), batch.column(3), kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *_planes(ranks[ids], offsets, kind), pa.array(places, pa.int32())], ["doc_id", "n_tokens", "low", "high", "place"])
 
     def write(batches):
         import pyarrow as pa
@@ -163,7 +174,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in _SEGMENT.split(", ")])
 
         for batch in batches:
-            ids, offsets = _flat(batch.column(1), kind)
+            ids, offsets = _flat(batch.column(1), batch.column(2), kind)
             for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = ids[a:b]
                 if held and n + len(own) > SEGMENT_IDS:
@@ -176,8 +187,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     (
         encoded.mapInArrow(rank, f"{_ENCODED}, place int")
         .repartitionById(parts, "place")
-        .sortWithinPartitions(F.asc_nulls_first("doc_id"), "n_tokens", "ids")
-        .select("doc_id", "ids")
+        .sortWithinPartitions(F.asc_nulls_first("doc_id"), "n_tokens", "low", "high")
+        .select("doc_id", "low", "high")
         .mapInArrow(write, _SEGMENT)
         .write.option("compression", "zstd")
         .parquet(f"{path}/segments")

@@ -30,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mailgauge.llm import scratch
 from mailgauge.llm.wordcoder import text_bytes
@@ -233,7 +234,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = own.scores(text_bytes(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names)
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id):
