@@ -51,7 +51,8 @@ _OTHER = re.compile(rb"[^a-z\x80-\xff]+")
 
 
 def _plain(text: bytes) -> bytes:
-    return b" " + _OTHER.sub(b" ", text.lower()).strip() + b" "
+    clean = _OTHER.sub(b" ", text.lower()).strip()
+    return b" " + clean + b" " if clean else b" "
 
 
 def _windows(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -61,7 +62,7 @@ def _windows(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     ends = np.cumsum([len(t) for t in texts])
     last = np.searchsorted(blanks, ends) - 1  # the blank at each text's end
     first = np.concatenate([[0], last[:-1] + 1])
-    words = last - first  # a text of w words has w + 1 blanks, one without words has two
+    words = last - first  # a text of w words has w + 1 blanks
     counts = np.where(words > 0, -(-np.maximum(words - WINDOW, 0) // STEP) + 1, 0)
     text_of = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
