@@ -8,12 +8,12 @@
    words. A class carries its first shingles in the order: as many as it takes that two
    sets which reach the threshold share one of them.
 3. *Candidates.* Classes that share such a shingle, and whose sizes and places there allow the
-   threshold, are candidates if they share enough of their first shingles. In hub turns, each
-   shingle's class with the fewest rarer shingles before it is set against the classes of
-   other components; links found join components. Turns go on while the pairs left between
-   components are many (``PAIRS_PER_ROW``, at most ``HUB_TURNS``); then all that are left are
-   compared. So a large group of near copies costs stars, not all its pairs, and no link
-   between two components is missed.
+   threshold, are candidates if they share enough of their first shingles. First come hub turns:
+   in each shingle the class with the fewest shingles of its own before it is the hub, and each
+   class is compared with the hub it shares most shingles with; links found join components.
+   Turns go on while the pairs left between components are many (``PAIRS_PER_ROW``, at most
+   ``HUB_TURNS``); then all candidates left between components are compared. So a large group of
+   near copies costs stars, not all its pairs, and no link between two components is missed.
 4. *Fragments.* The global order is cut into ``FRAGMENTS`` ranges. Each candidate class's
    shingles are cut along them, overlaps are counted apart in each fragment and summed per
    pair; a pair links when ``den * overlap >= num * (size_a + size_b - overlap)``.
@@ -31,6 +31,7 @@ named columns are read.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -40,9 +41,9 @@ from pyspark.sql import functions as F
 from mailgauge.llm import scratch
 from mailgauge.llm.components import components
 
-SKETCH, CHUNKS = 1 << 21, 64
+SKETCH, CHUNKS = 1 << 23, 64
 FRAGMENTS = 8
-HUB_TURNS, PAIRS_PER_ROW = 4, 8
+HUB_TURNS, PAIRS_PER_ROW = 4, 4
 #: Bits of the filter that keeps texts without candidates out of the counting pass: 4 MB.
 FILTER_BITS = 1 << 25
 _WORDS = 200_000
@@ -136,7 +137,7 @@ def _levels(docs: DataFrame, width: int) -> np.ndarray:
             lens = np.diff(bounds)
             inside = np.arange(len(words)) < np.repeat(bounds[1:] - np.minimum(width, lens) + 1, lens)  # the text's last shingle and those before
             grams = _grams(words, width)
-            seen += np.bincount((grams[inside[: len(grams)]] & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+            np.add.at(seen, (grams[inside[: len(grams)]] & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
         if seen.any():
             blobs = [zstandard.compress(seen[k * step : (k + 1) * step].tobytes()) for k in range(CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "counts"])
@@ -153,11 +154,15 @@ def _levels(docs: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
     kind = "chunk int, counts binary"
-    counts = np.zeros(SKETCH, np.float64)
+    counts = np.zeros(SKETCH, np.uint32)
     for row in docs.select("text").mapInArrow(count, kind).repartition(CHUNKS, "chunk").mapInArrow(add, kind).toLocalIterator():
-        counts[row["chunk"] * step : (row["chunk"] + 1) * step] = np.frombuffer(row["counts"], np.uint64)
-    usual = max(1.0, counts.mean() + 3 * np.sqrt(counts.mean()))  # up to here the hash alone decides
-    return np.clip(np.ceil(4 * np.log2(np.maximum(counts, usual) / usual)), 0, 63).astype(np.uint8)
+        own = np.minimum(np.frombuffer(row["counts"], np.uint64), np.iinfo(np.uint32).max)
+        counts[row["chunk"] * step : (row["chunk"] + 1) * step] = own
+    mean = counts.mean(dtype=np.float64)
+    usual = max(1.0, mean + 2.5 * math.sqrt(mean))  # up to here the hash alone decides
+    # Four classes for each doubling beyond that; every count has its class.
+    edges = usual * 2.0 ** (np.arange(63) / 4)
+    return np.concatenate([np.searchsorted(edges, counts[k : k + step]).astype(np.uint8) for k in range(0, SKETCH, step)])
 
 
 def _least_overlap(n: int, num: int, den: int) -> int:
@@ -195,28 +200,36 @@ def _members(docs: DataFrame, width: int, num: int, den: int, level) -> DataFram
 
 def _may_link(num: int, den: int):
     """Whether sizes and places of one shared shingle (columns of sides x and y) allow the threshold."""
-    nx, ny, px, py = (F.col(c) for c in ("x.n", "y.n", "x.pos", "y.pos"))
-    most = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
+    nx, ny = F.col("x.n"), F.col("y.n")
+    behind = lambda n: F.ceil(n * num / den) - 1
+    after = F.least(F.col("x.rest") + behind(nx), F.col("y.rest") + behind(ny))
+    most = F.least("x.ahead", "y.ahead") + 1 + after
     return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (most * (num + den) >= (nx + ny) * num)
 
 
-def _pairs(x: DataFrame, y: DataFrame, condition) -> DataFrame:
-    """Pairs of nodes that meet in the shingles of both sides, with the number of those shingles."""
+def _pairs(x: DataFrame, y: DataFrame, condition, hubs: bool = False) -> DataFrame:
+    """Pairs of nodes that meet in the shingles of both sides, with the number of those shingles; for hubs also the node that is none."""
     met = x.alias("x").join(y.alias("y"), (F.col("x.place") == F.col("y.place")) & condition)
     small = F.col("x.node") < F.col("y.node")
     pick = lambda c, first: F.when(small == F.lit(first), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
-    met = met.select(pick("node", True).alias("a"), pick("node", False).alias("b"), pick("n", True).alias("na"), pick("n", False).alias("nb"))
-    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    met = met.select(pick("node", True).alias("a"), pick("node", False).alias("b"), pick("n", True).alias("na"), pick("n", False).alias("nb"), *([F.col("x.node").alias("own")] if hubs else []))
+    return met.groupBy("a", "b", "na", "nb", *(["own"] if hubs else [])).agg(F.count("*").alias("shared"))
 
 
-def _enough_first(num: int, den: int):
+def _best_hubs(pairs: DataFrame) -> DataFrame:
+    """For each node the one hub it shares most first shingles with: a guess that only the order of comparisons depends on."""
+    best = F.max(F.struct("shared", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"), "na", "nb"))
+    return pairs.groupBy("own").agg(best.alias("x")).select((-F.col("x.a")).alias("a"), (-F.col("x.b")).alias("b"), "x.na", "x.nb").distinct()
+
+
+def _enough_first(num: int, den: int, times: int = 1):
     """Whether ``shared``, the number of shared first shingles, leaves room for the threshold.
 
     A shared shingle is in both first parts or lies behind the one that ends earlier, so the overlap is at most ``shared``
-    and what lies behind the first part of one of the two.
+    and what lies behind the first part of one of the two. With ``times`` the number is only a part of them.
     """
     behind = lambda n: F.ceil(F.col(n) * num / den) - 1
-    return (F.col("shared") + F.greatest(behind("na"), behind("nb"))) * (num + den) >= (F.col("na") + F.col("nb")) * num
+    return (F.col("shared") * times + F.greatest(behind("na"), behind("nb"))) * (num + den) >= (F.col("na") + F.col("nb")) * num
 
 
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, num: int, den: int, level) -> DataFrame:
@@ -266,13 +279,15 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, nu
                 yield _segments(classes, fragments, segments)
 
     cuts = docs.mapInArrow(cut, "class binary, fragment int, own array<long>").join(wanted.select("class", "node"), "class").select("node", "fragment", "own")
-    cuts = scratch.saved(cuts, "op8-cuts")
+    cuts, cuts_path = scratch.save(cuts, "op8-cuts")
     left = pairs.join(cuts.select(F.col("node").alias("a"), "fragment", F.col("own").alias("own_a")), "a")
     both = left.join(cuts.select(F.col("node").alias("b"), "fragment", F.col("own").alias("own_b")), ["b", "fragment"])
     shared = both.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("own_a", "own_b")).cast("long").alias("shared"))
     # A class that several tasks cut counts once in each fragment.
     counted = shared.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("shared").alias("shared")).groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("overlap"))
-    return counted.where(F.col("overlap") * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+    found = scratch.saved(counted.where(F.col("overlap") * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b"), "op8-links")
+    scratch.drop(spark, cuts_path)
+    return found
 
 
 #: Stands for a null id inside the operator.
@@ -292,13 +307,26 @@ def _filter_bits(ids: np.ndarray) -> np.ndarray:
 
 def _with_roots(index: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The index with each node's component, without shingles that lie in one component only."""
-    if roots is not None:
-        index = index.drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     each = Window.partitionBy("place")
+    if roots is None:
+        shared = index.withColumn("met", F.count("*").over(each)).where("met > 1")
+        # Shingles that no other class has cannot be shared: only those in the index count as ``ahead`` of a place and as its ``rest``.
+        mine = Window.partitionBy("node")
+        shared = shared.withColumn("ahead", F.row_number().over(mine.orderBy("pos")) - 1).withColumn("rest", F.count("*").over(mine) - 1 - F.col("ahead"))
+        return shared.drop("met").withColumn("comp", F.col("node"))
+    index = index.drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = index.withColumn("low", F.min("comp").over(each)).withColumn("high", F.max("comp").over(each))
     return mixed.where("low < high").drop("low", "high")
 
 
+def _many(index: DataFrame, n_found: int) -> bool:
+    """Whether hubs go on: the pairs left are many and the last hubs still joined a good part, or the pairs are very many."""
+    sizes = index.groupBy("place", "comp").agg(F.count("*").alias("c")).groupBy("place").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    left = sizes.agg(F.sum("s").alias("rows"), (F.sum(F.col("s").cast("double") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
+    per_row = left["pairs"] / left["rows"]
+    return per_row > PAIRS_PER_ROW and (n_found * 20 > left["rows"] or n_found > 0 and per_row > 25 * PAIRS_PER_ROW)
+
+
 def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id. Links have Jaccard >= num/den."""
     if not 0 < num <= den:
@@ -310,34 +338,32 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     classes = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("row_id"), F.max("n").alias("n"), F.first("first", ignorenulls=True).alias("first"))
     classes = scratch.saved(classes.withColumn("node", F.monotonically_increasing_id()), "op8-classes")
 
-    entries = classes.select("node", "n", F.posexplode("first").alias("pos", "place"), F.col("node").alias("comp"))
-    index = scratch.saved(_with_roots(entries, None), "op8-index")
-    may, links, roots, checked = _may_link(num, den), None, None, None
+    entries = classes.select("node", "n", F.posexplode("first").alias("pos", "place"))
+    index, path = scratch.save(_with_roots(entries, None), "op8-index")
+    may, links, roots, checked, n_found = _may_link(num, den), None, None, None, 0
     for turn in range(HUB_TURNS + 1):
-        sizes = index.groupBy("place", "comp").agg(F.count("*").alias("c")).groupBy("place").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left = sizes.agg(F.sum("s").alias("rows"), (F.sum(F.col("s").cast("double") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
-        if not left["rows"]:
+        if index.isEmpty():
             break
-        last = turn == HUB_TURNS or left["pairs"] <= PAIRS_PER_ROW * left["rows"]
+        last = turn == HUB_TURNS or turn > 0 and not _many(index, n_found)
         if last:
             pairs = _pairs(index, index, may & (F.col("x.comp") < F.col("y.comp"))).where(_enough_first(num, den))
         else:
-            hubs = index.groupBy("place").agg(F.min(F.struct("pos", "node", "n", "comp")).alias("hub")).select("place", "hub.*")
-            pairs = _pairs(index, hubs, may & (F.col("x.comp") != F.col("y.comp"))).drop("shared")
-            # A pair met only where one side is the hub: all shared first shingles count.
-            for side in "ab":
-                pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("first").alias(f"first_{side}")), side)
-            pairs = pairs.withColumn("shared", F.size(F.array_intersect("first_a", "first_b"))).where(_enough_first(num, den))
+            hubs = index.groupBy("place").agg(F.min(F.struct((F.col("pos") - F.col("ahead")).alias("private"), "node", "n", "ahead", "rest", "comp")).alias("hub")).select("place", "hub.*")
+            # Pairs that meet in too few hub shingles wait for the last turn, where all shared shingles count.
+            met = _pairs(index, hubs, may & (F.col("x.comp") != F.col("y.comp")), True)
+            pairs = _best_hubs(met.where(_enough_first(num, den, 2)))
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = scratch.saved(pairs.select("a", "b", "na", "nb"), "op8-pairs")
-        found = scratch.saved(_links(docs, classes, pairs, width, num, den, level), "op8-links")
+        found = _links(docs, classes, pairs, width, num, den, level)
+        n_found = found.count()
         links = found if links is None else links.unionByName(found)
         checked = pairs.select("a", "b") if checked is None else checked.unionByName(pairs.select("a", "b"))
         roots = components(links)
         if last:
             break
-        index = scratch.saved(_with_roots(index, roots), "op8-index")
+        (index, path), old = scratch.save(_with_roots(index, roots), "op8-index"), path
+        scratch.drop(spark, old)
 
     named = classes.select("class", "node", "least_id")
     if roots is not None:
