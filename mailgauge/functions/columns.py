@@ -46,7 +46,7 @@ def base_id(c: Column) -> Column:
     return F.regexp_replace(c, "_P(?:1|2)$", "")
 
 
-#: A line that names its label, and a line that is nothing but one.
+#: Fixed patterns: a line that names its label, and a line that is nothing but one.
 _NAMED = r"(?iU)\b(?:label|classification|class|prediction)\b\s*[:=\-]?\s*[<\[({]?\s*([01])\s*[>\])}]?"
 _ALONE = r"(?U)^[<\[({]?\s*([01])\s*[>\])}]?$"
 

@@ -76,9 +76,15 @@ def level_table(summary: DataFrame, target: str, context: str | None = None) ->
 
 
 def all_levels(summary: DataFrame) -> DataFrame:
-    """Every factor overall, and every factor within every other."""
-    tables = [level_table(summary, f) for f in FACTORS] + [level_table(summary, t, m) for t, m in permutations(FACTORS, 2)]
-    return reduce(DataFrame.unionByName, tables)
+    """Every factor overall, and every factor within every other: one pass over the summary, whose rows each give one or two."""
+
+    def row(target: str, within: str | None):
+        name = "*".join(f for f in FACTORS if f in (target, within))
+        own = F.struct(F.lit(target).alias("factor"), F.col(target).alias("level"), F.lit(within or "").alias("moderator"), (F.col(within) if within else F.lit("")).alias("moderator_level"))
+        return F.when(F.col("factor_set") == name, own)
+
+    rows = F.array(*(row(f, None) for f in FACTORS), *(row(t, m) for t, m in permutations(FACTORS, 2)))
+    return summary.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"), "recall").select("r.*", "recall")
 
 
 _WITHIN = ["factor", "moderator", "moderator_level"]
