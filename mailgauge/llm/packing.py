@@ -30,6 +30,8 @@ from mailgauge.llm import scratch
 from mailgauge.llm.wordcoder import coder, default_path, text_bytes
 
 PART_PIECES, FAN_IN = 200_000, 8
+#: Text that a worker encodes at once: workers may still hold what earlier stages left.
+SLICE_BYTES = 2_000_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = f"{_PIECE}, part long, bin long, offset long, free long, n_bins long, bound long"
 
@@ -43,7 +45,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = No
 
         code = coder(tokenizer)
         for batch in batches:
-            for at, ids, offsets in code.encode(text_bytes(batch.column(1))):
+            for at, ids, offsets in code.encode(text_bytes(batch.column(1)), SLICE_BYTES):
                 rows, piece, start, length, crc = [], [], [], [], []
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")

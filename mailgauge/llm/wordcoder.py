@@ -59,8 +59,7 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # text that spells a special token is ordinary text
-        self.marked = Tokenizer.from_file(path)
-        self.mark = self.marked.token_to_id(_MARK)
+        self.mark = self.tokenizer.token_to_id(_MARK)
         self.vocab_size = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             self.by_word = _by_word(json.load(f))
@@ -80,7 +79,10 @@ class WordCoder:
         plain = next((i for i, w in enumerate(words) if b"<|" in w), len(words)) if self.mark is not None else 0
         joined = [_MARK.join(x.decode() for x in words[i : min(i + _JOINED, plain)]) for i in range(0, plain, _JOINED)]
         ids, lens = [], []
-        for e in self.marked.encode_batch_fast(joined, add_special_tokens=False):
+        self.tokenizer.encode_special_tokens = False  # here the mark is itself, and no word spells a special token
+        marked = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        self.tokenizer.encode_special_tokens = True
+        for e in marked:
             got = np.array(e.ids, np.uint32)
             ends = np.concatenate([np.flatnonzero(got == self.mark), [len(got)]])
             lens.append(np.diff(ends, prepend=-1) - 1)
@@ -124,12 +126,12 @@ class WordCoder:
         ids = self.flat[np.arange(total) + np.repeat(self.starts[found] - (ends - lens), lens)]
         return ids, np.concatenate([[0], ends])[split.offsets.to_numpy()]
 
-    def encode(self, texts: list[bytes]):
+    def encode(self, texts: list[bytes], slice_bytes: int = SLICE_BYTES):
         """Yield, for slices of the texts in order, (first text, flat ids uint32, offsets)."""
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE_BYTES):
+            while end < len(texts) and (end == at or size + len(texts[end]) <= slice_bytes):
                 size += len(texts[end])
                 end += 1
             part = texts[at:end]
@@ -146,8 +148,13 @@ class WordCoder:
 @lru_cache(maxsize=1)
 def coder(path: str) -> WordCoder:
     """One coder for a worker process, so that its cache serves all its tasks."""
+    import gc
     import os
 
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()  # what this worker's earlier tasks left
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordCoder(path)
 
