@@ -202,7 +202,9 @@ def _may_link(num: int, den: int):
     """Whether sizes and places of one shared shingle (columns of sides x and y) allow the threshold."""
     nx, ny = F.col("x.n"), F.col("y.n")
     behind = lambda n: F.ceil(n * num / den) - 1
-    after = F.least(F.col("x.rest") + behind(nx), F.col("y.rest") + behind(ny))
+    # ``rest`` misses what lies in this first part and behind the other one, so it bounds only on the side that ends earlier.
+    indexed = F.when(F.col("x.last") <= F.col("y.last"), F.col("x.rest") + behind(nx)).otherwise(F.col("y.rest") + behind(ny))
+    after = F.least(indexed, nx - F.col("x.pos") - 1, ny - F.col("y.pos") - 1)
     most = F.least("x.ahead", "y.ahead") + 1 + after
     return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (most * (num + den) >= (nx + ny) * num)
 
@@ -310,7 +312,8 @@ def _with_roots(index: DataFrame, roots: DataFrame | None) -> DataFrame:
     each = Window.partitionBy("place")
     if roots is None:
         shared = index.withColumn("met", F.count("*").over(each)).where("met > 1")
-        # Shingles that no other class has cannot be shared: only those in the index count as ``ahead`` of a place and as its ``rest``.
+        # Up to the end of the first part that ends earlier, what two classes share is in both first parts and so in the index:
+        # only shingles there count as ``ahead`` of a place and, on that side, as its ``rest``.
         mine = Window.partitionBy("node")
         shared = shared.withColumn("ahead", F.row_number().over(mine.orderBy("pos")) - 1).withColumn("rest", F.count("*").over(mine) - 1 - F.col("ahead"))
         return shared.drop("met").withColumn("comp", F.col("node"))
@@ -338,7 +341,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
     classes = members.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("row_id"), F.max("n").alias("n"), F.first("first", ignorenulls=True).alias("first"))
     classes = scratch.saved(classes.withColumn("node", F.monotonically_increasing_id()), "op8-classes")
 
-    entries = classes.select("node", "n", F.posexplode("first").alias("pos", "place"))
+    entries = classes.select("node", "n", F.element_at("first", -1).alias("last"), F.posexplode("first").alias("pos", "place"))
     index, path = scratch.save(_with_roots(entries, None), "op8-index")
     may, links, roots, checked, n_found = _may_link(num, den), None, None, None, 0
     for turn in range(HUB_TURNS + 1):
@@ -348,7 +351,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 10
         if last:
             pairs = _pairs(index, index, may & (F.col("x.comp") < F.col("y.comp"))).where(_enough_first(num, den))
         else:
-            hubs = index.groupBy("place").agg(F.min(F.struct((F.col("pos") - F.col("ahead")).alias("private"), "node", "n", "ahead", "rest", "comp")).alias("hub")).select("place", "hub.*")
+            hubs = index.groupBy("place").agg(F.min(F.struct((F.col("pos") - F.col("ahead")).alias("private"), "node", "n", "pos", "last", "ahead", "rest", "comp")).alias("hub")).select("place", "hub.*")
             # Pairs that meet in too few hub shingles wait for the last turn, where all shared shingles count.
             met = _pairs(index, hubs, may & (F.col("x.comp") != F.col("y.comp")), True)
             pairs = _best_hubs(met.where(_enough_first(num, den, 2)))

@@ -60,6 +60,32 @@ def test_groups_match_brute_force(spark, monkeypatch, width, num, den, pairs_per
     assert got == {i: (len(sets[i]), roots[i]) for i in range(len(texts))}
 
 
+def appended(seed, num, den, words=100):
+    """Texts with copies, and variants of them with 5 to 25 percent of words of their own at the end, in front or inside."""
+    rng = random.Random(seed)
+    texts = []
+    for i in range(40):
+        base = [f"b{i}x{k}" for k in range(words + rng.randrange(20))]
+        variants = []
+        for j in range(3):
+            extra = [f"e{i}x{j}x{k}" for k in range(round(len(base) * rng.uniform(0.05, 1.25 * (den / num - 1))))]
+            at = rng.choice([len(base), 0, len(base) // 2])
+            variants.append(base[:at] + extra + base[at:])
+        texts += [" ".join(t) for t in [base] * rng.choice([1, 1, 6]) + variants[: rng.choice([1, 1, 3])]]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("width,num,den,pairs_per_row", [(4, 85, 100, 4), (5, 80, 100, 4), (5, 80, 100, 0)])
+def test_texts_with_words_added_match_brute_force(spark, monkeypatch, width, num, den, pairs_per_row):
+    monkeypatch.setattr(ngram_join, "PAIRS_PER_ROW", pairs_per_row)
+    texts = appended(num, num, den)
+    sets, roots = brute(texts, width, num, den)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_groups(df, width, num, den).collect()}
+    assert got == {i: (len(sets[i]), roots[i]) for i in range(len(texts))}
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (5, "A b c d e f"), (5, "a b c d e f"), (7, "other words here now"), (None, "lonely text without an id"), (8, None)], "doc_id long, text string")
     rows = sorted(((r["doc_id"] or -1, r["component_id"]) for r in ngram_join.jaccard_groups(df).collect()), key=str)
