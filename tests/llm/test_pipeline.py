@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from mailgauge.llm import scratch, toxicity, wordcoder
-from tests.llm.test_joins_vectors import brute
+from tests.llm.test_joins_vectors import appended, brute
 from tests.llm.test_text_scanners import base_pii
 
 
@@ -54,6 +54,13 @@ def test_one_of_near_copies_stays(stages):
     assert set(by_id(after)) == {rows[k][0] for k in set(roots.values())}
 
 
+def test_one_of_near_copies_with_words_added_stays(spark, sf):
+    texts = appended(1, 80, 100)
+    _, roots = brute(texts, 5, 80, 100)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert set(by_id(corpus_pipeline.drop_near_copies(spark, df, sf))) == set(roots.values())
+
+
 def test_personal_data_is_gone(stages):
     _, before, after = (by_id(x) if not isinstance(x, str) else x for x in stages[3])
     assert set(before) == set(after)
