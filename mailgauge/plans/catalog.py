@@ -292,7 +292,7 @@ def hidden_runs(spark, sf):
 
 def nearest_visible(spark, sf):
     """Runs and neighbours over events as fragments: a user's events in order, purchases hidden."""
-    events = load(spark, sf, "events").where("user_id % 10 = 0")
+    events = load(spark, sf, "events")
     rows = events.select(F.col("user_id").alias("key"), F.col("event_id").cast("int").alias("frag_idx"), F.concat(F.lit(" "), "event_type", F.lit("  x")).alias("text"), (F.col("event_type") != "purchase").alias("visible"), F.when(F.col("event_id") % 7 == 0, "html_comment").otherwise("text").alias("type"))
     return _rounded(embedding.with_runs(rows, "key").select("key", "frag_idx", "clean", "run_id", "prev_visible", "next_visible"))
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from mailgauge.functions.columns import contrast, parsed_label, to_boolean, to_integer, to_number
 from mailgauge.operators import classify, css, dom, embedding, hidden, mime, registry
 from mailgauge.operators.clean import clean
+from mailgauge.plans import catalog
 
 LABELS = [
     ("", None), ("0", 0), (" 1 ", 1), ("LABEL: 1", 1), ("label = <0>", 0), ("Prediction - 1", 1), ("text\nCLASS: [0]", 0), ("(1)", 1), ("LABEL: <0 or 1>", 0), ("LABEL: 10", 1),
@@ -126,6 +127,21 @@ def test_runs_and_neighbours(spark):
     assert runs[1]["hidden_text"] == "x y" and runs[1]["splits_word"] and runs[2]["is_comment"]
 
 
+def test_nearest_visible_of_all_users(spark, sf):
+    users = {}
+    for e in spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type").orderBy("event_id").collect():
+        users.setdefault(e["user_id"], []).append((e["event_id"], e["event_type"], e["event_type"] != "purchase", e["event_id"] % 7 == 0))
+    want = set()
+    for user, own in users.items():
+        run = 0
+        for k, (i, kind, visible, comment) in enumerate(own):
+            run += not visible and (k == 0 or own[k - 1][2] or comment or own[k - 1][3])
+            before, after = [e[1] for e in own[:k] if e[2]], [e[1] for e in own[k + 1 :] if e[2]]
+            want.add((user, i, f"{kind} x", None if visible else run, f" {before[-1]}  x" if before else None, f" {after[0]}  x" if after else None))
+    got = [tuple(r) for r in catalog.nearest_visible(spark, sf).select("key", "frag_idx", "clean", "run_id", "prev_visible", "next_visible").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def message(*lines):
     return "\r\n".join(lines).encode()
 
