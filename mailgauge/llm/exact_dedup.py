@@ -16,12 +16,15 @@ no rows. Only the two named columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgauge.llm import scratch
 from mailgauge.llm.group_join import join_groups
 
+#: Rows that repeat id and text are put back by so many at once.
+_REPEATS = 1 << 16
+
 
 def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text", content_hash=F.md5) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
@@ -39,19 +42,21 @@ def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", tex
     if collided:
         narrow = rows.join(shared, "hash", "left_anti").select("hash", "doc_id")
         single = groups.join(shared, "hash", "left_anti")
-    found = _joined(narrow, single, ["hash"])
+    found = join_groups(narrow, single, ["hash"])
     if collided:  # rows of a shared hash find their text's group by a second digest
         mixed = rows.join(shared, "hash", "left_semi").withColumn("text_sha256", F.sha2("text", 256)).select("hash", "text_sha256", "doc_id")
-        found = found.unionByName(_joined(mixed, groups.join(shared, "hash", "left_semi"), ["hash", "text_sha256"]))
-    return found
-
-
-def _joined(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
-    # Repeats of one id and text are one line with a count until the end.
-    counted = rows.groupBy(*on, "doc_id").agg(F.count("*").alias("copies"))
-    out = join_groups(counted, groups, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    kept: Column = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+        found = found.unionByName(join_groups(mixed, groups.join(shared, "hash", "left_semi"), ["hash", "text_sha256"]))
+    found = scratch.saved(found.select("doc_id", "keep_id", "group_size", "text_sha256"), "op10-found")
+    # One row of each group is kept; others of its id and text are put back from their number, so no task gathers them.
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    copies = found.where(best).groupBy("keep_id", "group_size", "text_sha256").agg((F.count("*") - 1).alias("more"))
+    kept = copies.select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", F.lit(True).alias("kept"), "text_sha256", "more")
+    blocks = kept.where("more > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("more") - 1) / _REPEATS))))
+    blocks = blocks.withColumn("n", F.least(F.lit(_REPEATS), F.col("more") - F.col("block") * _REPEATS).cast("int")).repartition("text_sha256", "block")
+    again = blocks.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    lost = found.where(~best).withColumn("kept", F.lit(False)).unionByName(again.withColumn("kept", F.lit(False)).select(names))
+    return kept.select(names).unionByName(lost)
 
 
 def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
@@ -59,14 +64,16 @@ def drop_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
 
     Of rows that repeat id and text any one stays.
     """
-    groups = scratch.saved(exact_groups(docs, keep).where("kept"), "op10-kept")
-    stay = groups.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_sha", F.sha2(scratch.text_or_empty(), 256))
-    once = own.join(stay.withColumnRenamed("_sha", "_of"), own["doc_id"].eqNullSafe(F.col("_id")) & (own["_sha"] == F.col("_of")), "left_semi")
-    repeated = groups.where("group_size > 1").join(docs.select("doc_id").groupBy("doc_id").count().where("count > 1"), "doc_id", "left_semi")
-    if not repeated.isEmpty() or not groups.where("doc_id IS NULL").isEmpty():  # else no row of a kept id and text repeats
-        once = once.dropDuplicates(["doc_id", "_sha"])
-    return once.select(*docs.columns)
+    kept = scratch.saved(exact_groups(docs, keep).where("kept"), "op10-kept")
+    id_name, sha_name = (scratch.fresh_name(docs, n) for n in ("kept_id", "kept_sha"))
+    stay = kept.select(F.col("doc_id").alias(id_name), F.col("text_sha256").alias(sha_name))
+    mine = scratch.fresh_name(docs, "own_sha")
+    own = docs.withColumn(mine, F.sha2(scratch.text_or_empty(), 256))
+    once = own.join(stay, own["doc_id"].eqNullSafe(stay[id_name]) & (own[mine] == stay[sha_name]), "left_semi")
+    repeated = kept.where("group_size > 1").join(docs.select("doc_id").groupBy("doc_id").count().where("count > 1"), "doc_id", "left_semi")
+    if not repeated.isEmpty() or not kept.where("doc_id IS NULL").isEmpty():  # else no row of a kept id and text repeats
+        once = once.dropDuplicates(["doc_id", mine])
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
