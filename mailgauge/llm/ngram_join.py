@@ -385,9 +385,10 @@ def drop_near_copies(docs: DataFrame, width: int = 5, num: int = 80, den: int =
 
     Rows without an id stay: nothing tells which of them to keep.
     """
-    heads = scratch.saved(jaccard_groups(docs, width, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_id")), "op8-heads")
-    named = docs.where("doc_id IS NOT NULL").join(heads, F.col("doc_id") == F.col("_id"), "left_semi")
-    if not heads.groupBy("_id").count().where("count > 1").isEmpty():
+    name = scratch.fresh_name(docs, "head_id")
+    heads = scratch.saved(jaccard_groups(docs, width, num, den).where("doc_id = component_id").select(F.col("doc_id").alias(name)), "op8-heads")
+    named = docs.where("doc_id IS NOT NULL").join(heads, F.col("doc_id") == F.col(name), "left_semi")
+    if not heads.groupBy(name).count().where("count > 1").isEmpty():
         named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))
 
