@@ -5,15 +5,15 @@ on unit vectors that is a distance of at most eps = sqrt(2 - 2t). Equal vectors
 class, so copies cost one row. Classes are projected on the leading principal directions
 (orthonormal, so distances can only shrink), get grid cells of side eps there, and are
 sorted by cells: the epsilon grid order. The order is cut into blocks. Two blocks meet only
-if they share a label and a cell range in the first direction (with its neighbours), and
-if the boxes of their projections are at most eps apart. A pair of blocks is joined by halving
+if they share a label and a cell (with its neighbours) in the first ``KEYED`` directions, and
+if the boxes of their projections are at most eps apart. So a first cell that holds many blocks is cut by the next directions. A pair of blocks is joined by halving
 its sequence intervals; interval pairs whose boxes are further apart than eps are skipped,
 small ones are compared in full.
 
 A block pair returns counts and a spanning forest of its links, never the pairs themselves.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite numbers, or whose
-label is null, links with nothing; vectors of different lengths do not link; a component
+label is null, links with nothing; labels of any type are compared as they are (by their text, with one zero); vectors of different lengths do not link; a component
 whose ids are all null has a null id; rows that repeat an id are vectors of their own; an
 empty table gives no rows. Only the three named columns are read.
 """
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from mailgauge.llm import scratch
 from mailgauge.llm.components import components
 
-DIRECTIONS = 6
+DIRECTIONS, KEYED = 6, 2
 BLOCK_ROWS, LEAF_ROWS = 1024, 128
-_BLOCK = "label long, dim int, cells array<int>, low array<double>, high array<double>, nodes binary, sizes binary, vectors binary"
+_BLOCK = "label string, dim int, cells array<array<int>>, low array<double>, high array<double>, nodes binary, sizes binary, vectors binary"
 
 
 def _unit(vectors) -> np.ndarray:
@@ -132,7 +132,8 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
         raise ValueError("the threshold lies in (0, 1]")
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-7
     vector = F.col(vector_col).cast("array<double>")
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), vector.alias("vector"))
+    label = F.col(label_col) + F.lit(0.0) if rows.schema[label_col].dataType.typeName() in ("float", "double") else F.col(label_col)  # one zero
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), label.cast("string").alias("label"), vector.alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = F.coalesce(F.col("label").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda v: v != 0), F.lit(False))
     valid = rows.where(good)
@@ -152,7 +153,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
                     places[r], cells[r] = own, cell
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int32()))], ["label", "vector", "size", "node", "place", "cells"])
 
-    gridded = classes.select("label", "vector", "size", "node").mapInArrow(project, "label long, vector array<double>, size long, node long, place array<double>, cells array<int>")
+    gridded = classes.select("label", "vector", "size", "node").mapInArrow(project, "label string, vector array<double>, size long, node long, place array<double>, cells array<int>")
     order = ["label", F.size("vector"), "cells", "node"]
 
     def block(batches):
@@ -163,10 +164,10 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
         def flush():
             nonlocal held
             x = np.array([r["place"] for r in held])
-            first = [min(r["cells"][0] for r in held), max(r["cells"][0] for r in held)]
-            row = [held[0]["label"], len(held[0]["vector"]), first, x.min(axis=0).tolist(), x.max(axis=0).tolist()]
+            cells = np.array([r["cells"][:KEYED] for r in held])
+            row = [held[0]["label"], len(held[0]["vector"]), np.stack([cells.min(axis=0), cells.max(axis=0)], axis=1).tolist(), x.min(axis=0).tolist(), x.max(axis=0).tolist()]
             row += [np.array([r["node"] for r in held], "<i8").tobytes(), np.array([r["size"] for r in held], "<i8").tobytes(), np.array([r["vector"] for r in held], "<f8").tobytes()]
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64())] + [pa.binary()] * 3
+            kinds = [pa.string(), pa.int32(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.float64()), pa.list_(pa.float64())] + [pa.binary()] * 3
             held = []
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in _BLOCK.split(", ")])
 
@@ -182,8 +183,10 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
     blocks = scratch.saved(blocks.withColumn("block", F.monotonically_increasing_id()), "op5-blocks")
 
     meta = blocks.select("block", "label", "dim", "cells", "low", "high")
-    left = meta.withColumn("cell", F.explode(F.expr("sequence(cells[0] - 1, cells[1] + 1)"))).alias("x")
-    right = meta.withColumn("cell", F.explode(F.expr("sequence(cells[0], cells[1])"))).alias("y")
+    # Vectors shorter than KEYED have fewer directions; vectors of one length have the same.
+    keys = lambda around: F.expr(f"aggregate(cells, array(''), (found, c) -> flatten(transform(sequence(c[0] - {around}, c[1] + {around}), v -> transform(found, f -> concat(f, '/', v)))))")
+    left = meta.withColumn("cell", F.explode(keys(1))).alias("x")
+    right = meta.withColumn("cell", F.explode(keys(0))).alias("y")
     gaps = F.expr("aggregate(zip_with(zip_with(x.low, y.high, (l, h) -> l - h), zip_with(y.low, x.high, (l, h) -> l - h), (g, h) -> greatest(g, h, 0D) * greatest(g, h, 0D)), 0D, (s, v) -> s + v)")
     met = left.join(right, F.expr("x.label = y.label AND x.dim = y.dim AND x.cell = y.cell AND x.block <= y.block") & (gaps <= eps * eps))
     met = met.select(F.col("x.block").alias("xb"), F.col("y.block").alias("yb")).distinct()

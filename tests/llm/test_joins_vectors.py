@@ -93,6 +93,28 @@ def test_null_and_repeated_ids(spark):
     assert sorted(str(r["doc_id"]) for r in ngram_join.drop_near_copies(df).collect()) == ["5", "7", "8", "None", "None", "None"]
 
 
+def test_clashing_columns_stay_beside_near_copies(spark):
+    rows = [(1, "a b c d e f", 1, "x", 2), (2, "A b c d e f", 3, "y", 4), (5, None, 5, None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, class string, Head_ID int")
+    left = ngram_join.drop_near_copies(df)
+    assert left.columns == df.columns and sorted(map(tuple, left.collect())) == [rows[0], rows[2]]
+
+
+@pytest.mark.parametrize("width,num,den", [(4, 85, 100), (5, 80, 100)])
+def test_all_documents_match_brute_force(spark, width, num, den):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+    sets = sets_of([t for _, t in rows], width)
+    holders = {}
+    for i, own in enumerate(sets):
+        for g in own:
+            holders.setdefault(g, []).append(i)
+    near = {(a, b) for own in holders.values() for a, b in itertools.combinations(own, 2)}
+    roots = roots_of(range(len(rows)), [(a, b) for a, b in near if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_groups(df, width, num, den).collect()}
+    assert got == {d: (len(sets[i]), rows[roots[i]][0]) for i, (d, _) in enumerate(rows)}
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_groups(none).count() == 0
@@ -145,6 +167,12 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert vector_join.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind,labels", [("double", [0.2, 0.7, 0.2, None, -0.0, 0.0]), ("string", ["a", "b", "a", None, "", ""])])
+def test_labels_are_compared_as_they_are(spark, kind, labels):
+    df = spark.createDataFrame([(i, [1.0, 2.0], x) for i, x in enumerate(labels)], f"vec_id long, embedding array<double>, label {kind}")
+    assert {r["vec_id"]: r["component_id"] for r in vector_join.near_vectors(df).collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 4}
+
+
 def test_many_equal_vectors_stay_one_class(spark):
     df = spark.range(500).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"), F.lit(3).alias("label"))
     rows = vector_join.near_vectors(df).collect()
