@@ -4,13 +4,15 @@ A tokenizer whose normaliser and pre-tokenizer never look across white space giv
 the same ids for a text as for its white-space separated words one after another.
 For such tokenizers the library encodes each distinct word once per worker (up to
 ``CACHE_WORDS`` words, then the cache starts anew) and numpy strings the words' ids
-together; any other tokenizer file goes to the library text by text. Both give the
-library's ids for whole texts.
+together; any other tokenizer file goes to the library text by text, and so do texts that
+spell an added token (in any case). Both give the library's ids for whole texts, as a
+tokenizer just loaded gives them: an added token in a text is that token.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 from itertools import repeat
@@ -58,8 +60,9 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # text that spells a special token is ordinary text
         self.mark = self.tokenizer.token_to_id(_MARK)
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.hint = os.path.commonprefix(self.added)
         self.vocab_size = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             self.by_word = _by_word(json.load(f))
@@ -79,10 +82,7 @@ class WordCoder:
         plain = next((i for i, w in enumerate(words) if b"<|" in w), len(words)) if self.mark is not None else 0
         joined = [_MARK.join(x.decode() for x in words[i : min(i + _JOINED, plain)]) for i in range(0, plain, _JOINED)]
         ids, lens = [], []
-        self.tokenizer.encode_special_tokens = False  # here the mark is itself, and no word spells a special token
-        marked = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        self.tokenizer.encode_special_tokens = True
-        for e in marked:
+        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
             got = np.array(e.ids, np.uint32)
             ends = np.concatenate([np.flatnonzero(got == self.mark), [len(got)]])
             lens.append(np.diff(ends, prepend=-1) - 1)
@@ -126,6 +126,12 @@ class WordCoder:
         ids = self.flat[np.arange(total) + np.repeat(self.starts[found] - (ends - lens), lens)]
         return ids, np.concatenate([[0], ends])[split.offsets.to_numpy()]
 
+    def _spells(self, text: bytes) -> bool:
+        return bool(self.added) and self.hint in text.lower() and any(token in text.lower() for token in self.added)
+
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
     def encode(self, texts: list[bytes], slice_bytes: int = SLICE_BYTES):
         """Yield, for slices of the texts in order, (first text, flat ids uint32, offsets)."""
         at = 0
@@ -136,10 +142,18 @@ class WordCoder:
                 end += 1
             part = texts[at:end]
             if self.by_word:
-                ids, offsets = self._slice(part)
+                odd = [i for i, t in enumerate(part) if self._spells(t)]
+                apart = set(odd)
+                ids, offsets = self._slice([b"" if i in apart else t for i, t in enumerate(part)] if odd else part)
+                if odd:
+                    pieces, last, lens = [], 0, np.diff(offsets)
+                    for i, own in zip(odd, self._whole([part[i] for i in odd]), strict=True):
+                        pieces += [ids[offsets[last] : offsets[i]], own]
+                        last, lens[i] = i, len(own)
+                    ids, offsets = np.concatenate([*pieces, ids[offsets[last] :]]), np.concatenate([[0], np.cumsum(lens)])
             else:
-                found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in part], add_special_tokens=False)]
-                ids = np.array([i for x in found for i in x], np.uint32)
+                found = self._whole(part)
+                ids = np.concatenate([*found, np.zeros(0, np.uint32)])
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
             yield at, ids, offsets
             at = end
@@ -149,7 +163,6 @@ class WordCoder:
 def coder(path: str) -> WordCoder:
     """One coder for a worker process, so that its cache serves all its tasks."""
     import gc
-    import os
 
     import pyarrow as pa
 
