@@ -2,14 +2,18 @@
 
 Pieces are dealt over partitions; each partition packs by best-fit decreasing and computes
 a lower bound on its bins from dual-feasible functions (threshold functions and the
-staircase functions u(k)), which certifies how far its own packing is from the best. The
-same functions over the counts of all lengths bound the whole. While the whole has more
-bins than its bound, the partitions with free room have a gap and exchange documents: the
-pieces of their bins with room meet those of other such partitions, and best-fit
-decreasing runs again; the new bins replace the old ones only where there are fewer.
-Rounds go on, each merging ``FAN_IN`` gapped partitions, until the whole is certified or
-one partition holds all that remains (or would exceed ``PART_PIECES`` pieces, the bound on
-a task's memory). ``pack`` reports bins, bound and certified partitions of every round.
+staircase functions u(k)), which certifies how far its own packing is from the best. A
+partition at its bound is certified and stays as it is; those with a gap exchange documents:
+the pieces of their bins with room meet those of up to ``FAN_IN`` such partitions, and best-fit
+decreasing runs again. New bins replace the old ones only where there are fewer; the others stay
+open and meet other partners in the next round. When fewer than two partitions have a gap of their own, or none of
+them won a bin, the same functions over the counts of all lengths still bound the whole: while
+it has more bins than that, the partitions have a gap together, and all their bins with room meet.
+
+The exchange ends when the whole is certified, when a joint round wins nothing, or after
+``rounds`` rounds; then some partitions stay uncertified. If the pieces to exchange are more
+than ``most_pieces`` for a task, each partition gives its emptiest bins, and the others wait.
+``pack`` reports bins, bound and certified partitions of every round.
 
 Defined results: a null or empty text is one piece with only the end id; documents longer
 than the capacity are cut into full pieces and a rest; null ids and repeated rows are
@@ -33,7 +37,7 @@ PART_PIECES, FAN_IN = 200_000, 8
 #: Text that a worker encodes at once: workers may still hold what earlier stages left.
 SLICE_BYTES = 2_000_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PACKED = f"{_PIECE}, part long, bin long, offset long, free long, n_bins long, bound long"
+_PACKED = f"{_PIECE}, part long, bin long, offset long, free long, n_bins long, gap long, ahead long"
 
 
 def cut_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,22 +121,25 @@ def _packed(pieces: DataFrame, capacity: int) -> DataFrame:
         order = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = order.column("length").to_numpy()
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
-        n = len(lengths)
+        n, free = len(lengths), np.array(free, np.int64)
+        emptiest = np.argsort(-free, kind="stable")
+        held = np.bincount(bins, minlength=len(free))[emptiest]
+        ahead = np.empty(len(free), np.int64)
+        ahead[emptiest] = np.cumsum(held)  # pieces in this bin and in those with more room
         out = {name: order.column(name) for name in ("doc_id", "piece", "start", "length", "ids_crc32", "part")}
-        out |= {"bin": pa.array(bins), "offset": pa.array(offsets), "free": pa.array(np.array(free, np.int64)[bins])}
-        out |= {"n_bins": pa.array(np.full(n, len(free), np.int64)), "bound": pa.array(np.full(n, lower_bound(lengths, capacity), np.int64))}
+        out |= {"bin": pa.array(bins), "offset": pa.array(offsets), "free": pa.array(free[bins])}
+        out |= {"n_bins": pa.array(np.full(n, len(free), np.int64)), "gap": pa.array(np.full(n, len(free) - lower_bound(lengths, capacity), np.int64)), "ahead": pa.array(ahead[bins])}
         return pa.table(out)
 
     return pieces.groupBy("part").applyInArrow(run, _PACKED)
 
 
-def _parts(df: DataFrame):
-    """One row per partition of pieces."""
-    return df.groupBy("part").agg(F.first("n_bins").alias("n_bins"), F.first("bound").alias("bound"), F.sum((F.col("free") > 0).cast("long")).alias("loose"))
+def _bins(df: DataFrame) -> int:
+    return df.select("part", "bin").distinct().count()
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, part_pieces: int = PART_PIECES, rounds: int = 6, most_pieces: int = PART_PIECES) -> tuple[DataFrame, list[dict]]:
-    """Place all pieces; also return, per round, the bins and the certified bound of what was packed.
+def pack(pieces: DataFrame, capacity: int = 2048, part_pieces: int = PART_PIECES, rounds: int = 8, most_pieces: int = PART_PIECES) -> tuple[DataFrame, list[dict]]:
+    """Place all pieces; also return, per round, the bins, the certified bound of the whole and the partitions with a gap.
 
     ``part_pieces`` is the size partitions start with, ``most_pieces`` the size merged ones may reach.
     The result has the pieces' columns, ``sequence_id`` and ``offset``.
@@ -144,44 +151,53 @@ def pack(pieces: DataFrame, capacity: int = 2048, part_pieces: int = PART_PIECES
     n, least = int(counts.sum()), bound_of_counts(counts, capacity)
     parts = max(1, math.ceil(n / part_pieces))
     keys = [F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("piece"), F.col("ids_crc32")]
-    current = scratch.saved(_packed(pieces.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts))), capacity), "op3-packed")
-    done, report, closed = [], [], 0
+    placed = scratch.saved(_packed(pieces.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts))), capacity), "op3-packed")
+    certified = placed.where("gap <= 0").select("part").distinct().count()
+    done = [_numbered(placed.where("free = 0"))]  # a full bin stays
+    closed, current = _bins(placed.where("free = 0")), placed.where("free > 0")
+    report, joint = [], False
     for turn in range(rounds + 1):
-        summary = _parts(current).agg(F.sum("n_bins").alias("bins"), F.sum((F.col("n_bins") <= F.col("bound")).cast("long")).alias("certified"), F.count("*").alias("parts")).first()
-        # While the whole is not certified, a certified partition still has a gap if some of its bins have room.
-        total = closed + (summary["bins"] or 0)
-        open_parts = _parts(current).where("loose > 0" if total > least else "false")
-        gapped = open_parts.agg(F.count("*").alias("parts"), F.sum("loose").alias("loose")).first()
-        report.append({"round": turn, "bins": total, "bound": least, "parts": summary["parts"], "certified": summary["certified"] or 0, "gapped": gapped["parts"]})
-        merged = max(1, math.ceil(gapped["parts"] / FAN_IN), math.ceil((gapped["loose"] or 0) / most_pieces))
-        if turn == rounds or gapped["parts"] < 2 or merged >= gapped["parts"]:
+        total = closed + _bins(current)
+        own = current.groupBy("part").agg(F.max("gap").alias("gap"))
+        gapped, there = own.agg(F.count_if(F.col("gap") > 0), F.count("*")).first() if total > least else (0, 0)
+        report.append({"round": turn, "bins": total, "bound": least, "parts": parts, "certified": certified, "gapped": gapped})
+        joint = joint or gapped < 2
+        open_parts = there if joint else gapped
+        if turn == rounds or open_parts < 2:
             break
-        # Documents of loose bins meet those of other gapped partitions; full bins and certified partitions stay.
-        target = F.pmod(F.xxhash64("part"), F.lit(merged))
-        marked = current.join(F.broadcast(open_parts.select("part", F.lit(True).alias("open"))) if gapped["parts"] <= 10_000 else open_parts.select("part", F.lit(True).alias("open")), "part", "left")
-        moving = scratch.saved(marked.where("open and free > 0").drop("open").withColumn("target", target), "op3-moving")
+        merged = math.ceil(open_parts / FAN_IN)
+        marked = current.join(own.where("true" if joint else "gap > 0").select("part", F.lit(True).alias("open")), "part", "left")
+        moves = F.coalesce(F.col("open") & (F.col("ahead") <= max(1, most_pieces // min(FAN_IN, open_parts))), F.lit(False))
+        # Other partners in every round.
+        marked = scratch.saved(marked.withColumn("target", F.when(moves, F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(merged)))).drop("open"), "op3-marked")
+        moving = marked.where("target is not null")
         again = scratch.saved(_packed(moving.select(*_PIECE_NAMES, F.col("target").alias("part")), capacity), "op3-again")
         before = moving.groupBy("target").agg(F.countDistinct("part", "bin").alias("old"))
         after = again.groupBy(F.col("part").alias("target")).agg(F.first("n_bins").alias("new"))
         better = scratch.saved(before.join(after, "target").where("new < old").select("target", F.lit(True).alias("won")), "op3-better")
-        stay = marked.where("open is null or free = 0").drop("open")
-        lost = moving.join(better, "target", "left_anti").drop("target")
-        fixed = _numbered(stay.unionByName(lost), turn)
-        closed += fixed.select("sequence_id").distinct().count()
-        done.append(fixed)
-        current = scratch.saved(again.join(better.withColumnRenamed("target", "part"), "part", "left_semi"), "op3-current")
-    out = _numbered(current, len(report))
+        if better.isEmpty():
+            if joint and merged == 1:
+                break
+            joint = True
+            continue
+        fresh = again.join(better.withColumnRenamed("target", "part"), "part", "left_semi").withColumn("part", F.col("part") + F.lit((turn + 1) << _PART_BITS))
+        done.append(_numbered(fresh.where("free = 0")))
+        closed += _bins(fresh.where("free = 0"))
+        stay = marked.join(better, "target", "left").where("won is null").drop("target", "won")
+        current = scratch.saved(stay.unionByName(fresh.where("free > 0")), "op3-current")
+    out = _numbered(current)
     for part in done:
         out = out.unionByName(part)
     return out, report
 
 
+#: Partitions of one round are numbered below this many bits.
+_PART_BITS = 26
 _PIECE_NAMES = [x.split()[0] for x in _PIECE.split(", ")]
 
 
-def _numbered(df: DataFrame, turn: int) -> DataFrame:
-    number = F.lit(turn).cast("long") * F.lit(1 << 58) + F.col("part") * F.lit(1 << 32) + F.col("bin")
-    return df.select(*_PIECE_NAMES, number.alias("sequence_id"), "offset")
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.select(*_PIECE_NAMES, (F.col("part") * F.lit(1 << 32) + F.col("bin")).alias("sequence_id"), "offset")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ ODD = [
     (7, "word " * 9000),
     (8, "THE the The, the&&& the."),
     (8, None),
+    (9, "x <|endoftext|> y<|ENDOFTEXT|> <|STARTOFTEXT|>z <|startoftext| > <|endof text|>"),
 ]
 
 
@@ -36,8 +37,7 @@ def empty(odd):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(wordcoder.default_path())
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(wordcoder.default_path())  # as it is, special tokens too
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -159,6 +159,19 @@ def test_exchange_of_documents_saves_bins(spark):
     assert packed.count() == 600 and bins < report[0]["bins"] and bins <= report[-1]["bound"] + 3
 
 
+def test_certified_partitions_stay_and_losers_meet_others(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, 0, 0, 2048, i) for i in range(40)] + [(i, 0, 0, int(n), i) for i, n in enumerate(rng.integers(600, 1100, 400), 40)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed, report = packing.pack(pieces, part_pieces=25, most_pieces=60)  # too small for all that has room
+    by = {}
+    for r in packed.collect():
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(map(len, by.values())) == 440 and len(by) == report[-1]["bins"] >= report[-1]["bound"]
+    assert all(sum(n for _, n in b) <= 2048 and [o for o, _ in sorted(b)] == np.cumsum([0] + [n for _, n in sorted(b)])[:-1].tolist() for b in by.values())
+    assert report[0]["gapped"] > 0 and [r["bins"] for r in report] == sorted((r["bins"] for r in report), reverse=True) and report[-1]["bins"] < report[0]["bins"]
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(packing.cut_pieces(empty))[0].count() == 0
 
@@ -184,6 +197,24 @@ def test_copies(odd, keep, content_hash):
     assert sorted(map(tuple, rows), key=key) == sorted(want, key=key)
 
 
+def test_copies_of_one_id_are_all_there(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "_REPEATS", 7)
+    rows = [(None, "x")] * 40 + [(3, "y")] * 20 + [(4, "y")] * 2 + [(3, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep, best in (("min", 3), ("max", 4)):
+        got = exact_dedup.exact_groups(df, keep).collect()
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(d) for d, _ in rows)
+        assert sorted(r["doc_id"] for r in got if r["kept"]) == sorted([3, best]) and {r["group_size"] for r in got} == {41, 22}
+    assert sorted(r["doc_id"] or -1 for r in exact_dedup.exact_groups(df.where("doc_id is null")).where("kept").collect()) == [-1]
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3.5), (2, "a b c d e f", 4, 5, 6.5), (3, "other", 7, 8, 9.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _sha int, Own_SHA double").withColumnsRenamed({"_id": "kept_id", "_sha": "kept_sha"})
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns and sorted(map(tuple, left.collect())) == [rows[0], rows[2]]
+
+
 def test_one_row_stays_of_each_text(odd, empty):
     left = exact_dedup.drop_copies(odd)
     assert left.columns == odd.columns
