@@ -1,10 +1,15 @@
 """Operator 6: toxicity by compression distance to two trained zstandard dictionaries.
 
-*Training* (driver; labelled rows only, at most ``TOXIC_DOCS`` and ``PLAIN_DOCS`` of them, the
-smallest by a hash of the id). Near copies count once. zstandard trains a base dictionary on
-ordinary text; words whose share of toxic texts is surely higher than their share of ordinary
-ones, and the reverse, follow as the toxic and the ordinary dictionary's own text, both at the same distance from
-the shared base, so a window that knows neither costs the same in both.
+*Training* (driver; a bounded sample of labelled rows, the smallest by a hash of the id: at most
+``TOXIC_DOCS`` and ``PLAIN_DOCS`` rows and ``TOXIC_BYTES`` and ``PLAIN_BYTES`` of text; a row that would
+pass the bytes left is passed over). Of each class two thirds train dictionaries, one third calibrates;
+near copies among the former count once. zstandard trains a base dictionary on the ordinary texts. Then it trains
+one dictionary on the toxic and one on the ordinary texts, of equal size, each on what the base
+lacks of its class's texts: the stretches in which no ``GRAM`` bytes in a row are in the base. A class's texts are
+halved for that; each half trains a dictionary, and the stretches that count at last are
+those that have a match in the *other* half's dictionary, so what only one text has does not count.
+The two are followed by the base at the same distance, so a window that knows
+neither class's own text costs the same in both. Of the sizes ``OWN_BYTES`` the one with the least loss in calibration stays.
 
 *Scoring* (executors). A text is lower-cased, all but letters become blanks, and windows of
 ``WINDOW`` words every ``STEP`` words are compressed with both dictionaries. How many and which
@@ -14,9 +19,10 @@ sampling rates of the two classes. Every window of every text is compressed.
 
 Defined results: null and empty texts and texts without letters score like a text without
 toxic windows; rows with a null id are scored (they are never held out and never used for
-training); rows that repeat are scored one by one; an id with several labels counts as toxic if one is 1;
-without labels of both classes in the training rows the score is the share of 1 (0 without any). Labels, language and source
-are no inputs of a score. Only the named columns are read.
+training); rows that repeat are scored one by one, and the first of equal ids serves for training; an id with several
+labels counts as toxic if one is 1; with fewer than two training rows of a class the score is the share of 1 (0 without any); a class whose texts are
+too short to train on has its text itself for a dictionary. Labels, language and source
+are no inputs of a score. Only the named columns are read; ``score`` keeps all others, and refuses a name for its own column that the table has (in any case).
 """
 
 from __future__ import annotations
@@ -24,7 +30,6 @@ from __future__ import annotations
 import math
 import pickle
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,13 +40,14 @@ from pyspark.sql import types as T
 from mailgauge.llm import scratch
 from mailgauge.llm.wordcoder import text_bytes
 
-#: Bounds of the training sample.
+#: Bounds of the training sample, in rows and in bytes of text.
 TOXIC_DOCS, PLAIN_DOCS = 2_000, 5_000
+TOXIC_BYTES, PLAIN_BYTES = 12_000_000, 24_000_000
 WINDOW, STEP = 6, 3
-LEVEL = 3
-BASE_BYTES, OWN_BYTES = 30_000, 4_000
-#: A dictionary word is in so many sampled texts at least, with such odds at least (two standard errors down).
-LEAST_TEXTS, LEAST_ODDS = 4, 3.0
+LEVEL = 5
+#: Size of the base, and the sizes tried for each class's own dictionary; length of the segments a dictionary is put together from; bytes that make a match.
+BASE_BYTES, OWN_BYTES = 110_000, (1_500, 3_000)
+SEGMENT, GRAM = 24, 8
 SHARPNESS = 7
 #: Text compressed at once, in bytes.
 SLICE_BYTES = 1_000_000
@@ -138,27 +144,70 @@ def _features(gains: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _one_of_each(texts: list[list[bytes]]) -> list[list[bytes]]:
-    """Texts without near copies: one per smallest hash of five words."""
+def _one_of_each(texts: list[bytes]) -> list[bytes]:
+    """Cleaned texts without near copies: one per smallest hash of five words."""
     import xxhash
 
     found = {}
-    for words in texts:
+    for text in texts:
+        words = text.split()
         if words:
-            found.setdefault(min(xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), words)
+            found.setdefault(min(xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), text)
     return list(found.values())
 
 
-def _telling(own: Counter, n_own: int, other: Counter, n_other: int) -> list[bytes]:
-    """Words whose odds are surely higher in the first class, the most frequent last."""
-    found = []
-    for word, c in own.items():
-        if c >= LEAST_TEXTS and len(word) >= 3:
-            d = other[word]
-            odds = math.log((c + 0.5) / (n_own - c + 0.5)) - math.log((d + 0.5) / (n_other - d + 0.5))
-            if odds - 2 * math.sqrt(1 / (c + 0.5) + 1 / (d + 0.5)) > math.log(LEAST_ODDS):
-                found.append((c, word))
-    return [w for _, w in sorted(found)]
+def _lines(texts: list[bytes], words: int = 40) -> list[bytes]:
+    return [b" ".join(own[i : i + words]) for own in map(bytes.split, texts) for i in range(0, len(own), words)]
+
+
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """What zstandard's training puts into a dictionary, the most useful last; of too little text the text itself."""
+    import zstandard as zstd
+
+    try:
+        return zstd.train_dictionary(size + 600, samples, k=SEGMENT, d=GRAM, level=LEVEL).as_bytes()[-size:]  # the header goes
+    except zstd.ZstdError:
+        return b" ".join(samples)[-size:]
+
+
+def _grams(text: np.ndarray) -> np.ndarray:
+    """The ``GRAM`` bytes from each place on as one number."""
+    out = np.zeros(max(0, len(text) - GRAM + 1), np.uint64)
+    for k in range(GRAM):
+        out = (out << np.uint64(8)) | text[k : k + len(out)]
+    return out
+
+
+def _stretches(texts: list[bytes], base: bytes, least: int = 4, edge: int = 2) -> list[bytes]:
+    """Parts of the texts (``least`` bytes or more, and ``edge`` bytes around) that no match with the base covers."""
+    text = b"\0".join(texts)
+    flat = np.frombuffer(text, np.uint8)
+    known = np.isin(_grams(flat), np.unique(_grams(np.frombuffer(base, np.uint8)))).astype(np.int64)
+    reach = np.concatenate([[0], np.cumsum(np.concatenate([known, np.zeros(min(GRAM - 1, len(flat)), np.int64)]))])
+    at = np.arange(len(flat))
+    new = (reach[at + 1] - reach[np.maximum(at + 1 - GRAM, 0)] == 0) & (flat != 0)
+    turns = np.flatnonzero(np.diff(new.astype(np.int8), prepend=0, append=0))
+    return [text[max(0, a - edge) : b + edge].strip(b"\0") for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True) if b - a >= least]
+
+
+class _Own:
+    """What a class's texts have beside the base, in halves, to train the class's own dictionary of any size."""
+
+    def __init__(self, texts: list[bytes], base: bytes):
+        self.halves = [_stretches(half, base) for half in (texts[::2], texts[1::2])]
+
+    def dictionary(self, size: int) -> bytes:
+        found = [_dictionary(half, size) for half in self.halves]
+        kept = [s for half, other in zip(self.halves, reversed(found), strict=True) for s in _shared(half, other)]
+        return _dictionary(kept or sum(self.halves, []), size)
+
+
+def _shared(stretches: list[bytes], dictionary: bytes) -> list[bytes]:
+    """The stretches that have a match in a dictionary."""
+    flat = np.frombuffer(b"\0".join(stretches), np.uint8)
+    hits = np.flatnonzero(np.isin(_grams(flat), np.unique(_grams(np.frombuffer(dictionary, np.uint8)))))
+    ends = np.cumsum([len(s) + 1 for s in stretches])
+    return [stretches[i] for i in np.unique(np.searchsorted(ends, hits, side="right")).tolist()]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
@@ -175,39 +224,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray
 
 def train(texts: list[bytes], labels: list[int], share: float) -> Model:
     """Model from labelled texts; ``share`` is the share of label 1 among all training labels."""
-    import zstandard as zstd
-
-    y = np.array(labels)
-    if not len(y) or y.min() == y.max():
+    y, rng = np.array(labels), np.random.default_rng(0)
+    rows = {k: rng.permutation(np.flatnonzero(y == k)) for k in (0, 1)}
+    if min(map(len, rows.values())) < 2:
         return Model(b"", b"", [], [], [], share)
-    order = np.random.default_rng(0).permutation(len(y))
-    seen, held = order[: 2 * len(y) // 3], order[2 * len(y) // 3 :]
-    if len(set(y[seen])) < 2 or len(set(y[held])) < 2:
-        seen = held = order
-    words = {k: _one_of_each([_plain(texts[i]).split() for i in seen if y[i] == k]) for k in (0, 1)}
-    counts = {k: Counter(w for t in words[k] for w in set(t)) for k in (0, 1)}
-    lines = [b" ".join(t[i : i + 40]) for t in words[0] for i in range(0, len(t), 40)][:40_000]
-    try:
-        base = zstd.train_dictionary(BASE_BYTES + 2_768, lines, level=LEVEL).as_bytes()[-BASE_BYTES:]
-    except zstd.ZstdError:  # too little text to train on: the text is the dictionary
-        base = b" ".join(lines)[-BASE_BYTES:]
-    own = {}
-    for k in (0, 1):
-        telling = _telling(counts[k], len(words[k]), counts[1 - k], len(words[1 - k]))
-        own[k] = (b"".join(b" " + w for w in telling) + b" ")[-OWN_BYTES:]
-    room = max(map(len, own.values()))
-    # Shorter texts are filled up with base text, so the base lies equally far in both.
-    model = Model(*((base * (room // max(len(base), 1) + 1))[: room - len(own[k])] + own[k] + base for k in (1, 0)), [], [], [], share)
-    x = model.features([texts[i] for i in held])
-    model.mean, model.scale = x.mean(axis=0).tolist(), (x.std(axis=0) + 1e-9).tolist()
-    w = _logistic((x - model.mean) / model.scale, y[held].astype(float))
-    sampled = y[held].mean()
-    w[0] += math.log(share / (1 - share)) - math.log(sampled / (1 - sampled))
-    model.weights = w.tolist()
-    return model
-
-
-def fit(docs: DataFrame, labels: DataFrame, is_training, toxic_docs: int = TOXIC_DOCS, plain_docs: int = PLAIN_DOCS) -> Model:
+    held = {k: v[: max(1, len(v) // 3)] for k, v in rows.items()}
+    seen = {k: _one_of_each([_plain(texts[i]) for i in v[len(held[k]) :]]) for k, v in rows.items()}
+    base = _dictionary(_lines(seen[0]), BASE_BYTES)
+    rest = np.concatenate([held[0], held[1]])
+    sampled, best = y[rest].mean(), None
+    parts = {k: _Own(seen[k], base) for k in (0, 1)}
+    for size in OWN_BYTES:
+        own = {k: part.dictionary(size) for k, part in parts.items()}
+        room = min(map(len, own.values()))
+        model = Model(*(own[k][len(own[k]) - room :] + base for k in (1, 0)), [], [], [], share)
+        x = model.features([texts[i] for i in rest])
+        model.mean, model.scale = x.mean(axis=0).tolist(), (x.std(axis=0) + 1e-9).tolist()
+        x = (x - model.mean) / model.scale
+        w = _logistic(x, y[rest].astype(float))
+        z = w[0] + x @ w[1:]
+        loss = np.logaddexp(0, np.where(y[rest] == 1, -z, z)).mean()
+        w[0] += math.log(share / (1 - share)) - math.log(sampled / (1 - sampled))
+        model.weights = w.tolist()
+        if best is None or loss < best[0]:
+            best = (loss, model)
+    return best[1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, is_training, toxic_docs: int = TOXIC_DOCS, plain_docs: int = PLAIN_DOCS, toxic_bytes: int = TOXIC_BYTES, plain_bytes: int = PLAIN_BYTES) -> Model:
     """Train on a bounded sample of the labelled rows of ``docs``; ``is_training`` maps an id column to a condition."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(is_training(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -215,17 +259,27 @@ def fit(docs: DataFrame, labels: DataFrame, is_training, toxic_docs: int = TOXIC
     total = sum(n.values())
     mix = F.xxhash64("doc_id")
     ids = marked.where("toxic = 1").orderBy(mix, "doc_id").limit(toxic_docs).unionByName(marked.where("toxic = 0").orderBy(mix, "doc_id").limit(plain_docs))
-    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most toxic_docs + plain_docs ids
-    rows = own.dropDuplicates(["doc_id"]).orderBy(mix, "doc_id").collect()
-    return train([(r["text"] or "").encode() for r in rows], [r["toxic"] for r in rows], n.get(1, 0) / total if total else 0.0)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1)."""
-    if "score" in docs.columns:
-        raise ValueError("the table has a column score already")
+    ids = scratch.saved(ids, "op6-sample")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")  # at most toxic_docs + plain_docs ids
+    sizes = own.groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("size"), F.min(F.xxhash64("text")).alias("version"))
+    left, chosen = {1: toxic_bytes, 0: plain_bytes}, []
+    for r in sizes.orderBy(mix, "doc_id").collect():  # a few numbers for each of those ids
+        if r["size"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["size"]
+            chosen.append((r["doc_id"], r["version"]))
+    if not chosen:
+        return train([], [], n.get(1, 0) / total if total else 0.0)
+    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, version long")
+    rows = own.withColumn("version", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "version"]).dropDuplicates(["doc_id"]).orderBy(mix, "doc_id").collect()  # at most the bytes above
+    return train([r["text"].encode() for r in rows], [r["toxic"] for r in rows], n.get(1, 0) / total if total else 0.0)
+
+
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``: its score, 0 to 1."""
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"the table has a column {name} already")
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    at, names = docs.columns.index("text"), [*docs.columns, "score"]
+    at, names = docs.columns.index("text"), [*docs.columns, name]
 
     def run(batches):
         import pyarrow as pa
@@ -235,7 +289,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = own.scores(text_bytes(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(doc_id):
@@ -243,16 +297,7 @@ def held_out(doc_id):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = scratch.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = scratch.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = fit(docs, scratch.table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
-
-    def run(batches):
-        import pyarrow as pa
-
-        own = pickle.loads(sent.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.scores(text_bytes(batch.column(1))))], ["doc_id", "score"])
-
-    sent = spark.sparkContext.broadcast(pickle.dumps(model))
-    scored = docs.mapInArrow(run, "doc_id long, score double")
+    scored = score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
