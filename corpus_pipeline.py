@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on every row its predecessor ke
 writes each stage's rows to the shared scratch folder and reads them back for the next, so
 a lost executor costs tasks, not stages.
 
-Defined results: null texts are empty texts; extra columns of ``documents`` stay until packing, except that
-packing returns only its own columns; an empty table gives no rows.
+Defined results: null texts are empty texts; extra columns of ``documents`` stay, whatever their names, until packing, which
+returns only its own columns; rows without an id pass the copy stages as these say; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold. Learnt from the labelled documents at hand outside the held-out part."""
     ship(spark)
     model = toxicity.fit(docs, scratch.table(spark, sf_dir, "labels"), lambda c: ~toxicity.held_out(c))
-    scored = toxicity.score(docs.withColumnRenamed("score", "_score_before") if "score" in docs.columns else docs, model)
-    kept = scored.where(F.col("score") < toxicity.THRESHOLD).drop("score")
-    return kept.withColumnRenamed("_score_before", "score")
+    name = scratch.fresh_name(docs, "score")
+    return toxicity.score(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
