@@ -98,7 +98,7 @@ def detector(strict: bool = False):
                 out.append((None, None, f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["fragments", "file_visible", "error"])
 
-    return run
+    return run.asNondeterministic()  # so that no filter on what it finds runs it a second time
 
 
 def detected(pages: DataFrame, html: str = "html", strict: bool = False) -> DataFrame:
@@ -160,11 +160,21 @@ def email_summary(emails: DataFrame, found: DataFrame, hidden: DataFrame, key: s
     )
 
 
-def corpus_stats(summary: DataFrame, key: str = "email_file") -> DataFrame:
-    """Per flag: e-mails, share of all (null for no e-mails) and the first of them in key order."""
+def _flagged(summary: DataFrame, key: str) -> DataFrame:
+    """(key, flag, on): one row per e-mail and flag."""
     flags = [*REASON_FLAGS, *STRATEGY_FLAGS.values(), "has_css_hidden_text", "has_html_comments", "has_mso_conditional_comments"]
     any_css, any_hidden = F.greatest(*(F.col(f) for f in REASON_FLAGS)), F.col("has_css_hidden_text") | F.col("has_html_comments") | F.col("has_mso_conditional_comments")
     wide = summary.withColumn("any_css", any_css).withColumn("any_hidden", any_hidden)
-    long = wide.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.coalesce(F.col(f), F.lit(False)).alias("on")) for f in [*flags, "any_css", "any_hidden"]))).alias("x")).select(key, "x.*")
+    return wide.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.coalesce(F.col(f), F.lit(False)).alias("on")) for f in [*flags, "any_css", "any_hidden"]))).alias("x")).select(key, "x.*")
+
+
+def flag_emails(summary: DataFrame, key: str = "email_file") -> DataFrame:
+    """The e-mails of every flag, one row each: a list per flag that no single row has to hold."""
+    return _flagged(summary, key).where("on").select("flag", key)
+
+
+def corpus_stats(summary: DataFrame, key: str = "email_file") -> DataFrame:
+    """Per flag: e-mails, share of all (null for no e-mails) and the first of them in key order."""
+    long = _flagged(summary, key)
     totals = long.groupBy("flag").agg(F.count_if("on").alias("n_emails"), F.count("*").alias("total_emails"), F.min(F.when(F.col("on"), F.col(key))).alias("first_email"))
     return totals.withColumn("percentage", F.try_divide(F.col("n_emails") * 100.0, F.col("total_emails")))

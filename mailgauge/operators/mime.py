@@ -7,9 +7,11 @@ outputs; a message that cannot be parsed gets an error and nulls.
 
 from __future__ import annotations
 
+import codecs
 from email import policy
 from email.message import EmailMessage
 from email.parser import BytesParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,45 +21,68 @@ from mailgauge.functions.arrow import arrow_function
 from mailgauge.operators.dom import visible_text
 
 SHOWN_HEADERS = ("From", "To", "Subject")
+#: Content types that are text here; everything else is a file.
+TEXTS = ("text/html", "text/plain")
 PARSED = "struct<html:string,p1:string,p2:string,error:string>"
 
 
-def _decoded(part) -> str:
-    payload = part.get_payload(decode=True)
-    if payload is None:
-        raw = part.get_payload()
-        return raw if isinstance(raw, str) else ""
+class Leaf(NamedTuple):
+    """A part without parts: its type, its text (of ``TEXTS``), whether its charset is known, whether it goes as a named file, and how it reads as one."""
+
+    kind: str
+    text: str
+    charset_known: bool
+    named: bool
+    as_file: str
+
+
+def _codec(name: str) -> str | None:
     try:
-        return payload.decode(part.get_content_charset() or "utf-8", "replace")
-    except LookupError:  # unknown charset
-        return payload.decode("utf-8", "replace")
+        return codecs.lookup(name).name
+    except LookupError:
+        return None
 
 
-def _is_file(part) -> bool:
-    return part.get_content_disposition() in ("attachment", "inline") and bool(part.get_filename())
+def leaf(part) -> Leaf:
+    kind, name, data = part.get_content_type(), part.get_filename(), part.get_payload(decode=True) or b""
+    codec = _codec(part.get_content_charset("utf-8"))
+    return Leaf(
+        kind,
+        data.decode(codec or "utf-8", "replace") if kind in TEXTS else "",
+        codec is not None,
+        bool(name) and part.get_content_disposition() in ("attachment", "inline"),
+        f"[Attachment removed: {name or 'unknown'} | {kind} | {len(data)} bytes]",
+    )
 
 
-def _placeholder(part) -> str:
-    return f"[Attachment removed: {part.get_filename() or 'unknown'} | {part.get_content_type()} | {len(part.get_payload(decode=True) or b'')} bytes]"
+def leaves(message) -> list[Leaf]:
+    return [leaf(part) for part in message.walk() if not part.is_multipart()]
 
 
 def headers(message) -> str:
     return "\n".join(f"{name}: {message[name]}" for name in SHOWN_HEADERS if message[name]) + "\n\n"
 
 
-def decoded_body(part) -> str:
-    """A part as MIME source with decoded text: boundaries and headers stay, files become placeholders."""
-    if not part.is_multipart():
-        text = part.get_content_type() in ("text/plain", "text/html") and not _is_file(part)
-        return _decoded(part) if text else _placeholder(part)
-    boundary, children = part.get_boundary(), list(part.iter_parts())
-    if not boundary:
-        return "\n\n".join(map(decoded_body, children))
-    lines = []
-    for child in children:
-        head = "\n".join(f"{k}: {v}" for k, v in child.items() if k.lower() != "content-transfer-encoding")
-        lines += [f"--{boundary}", *([head, ""] if head else []), decoded_body(child)]
-    return "\n".join([*lines, f"--{boundary}--"])
+def decoded_body(message) -> str:
+    """A message as MIME source with decoded text: boundaries and headers stay, files become placeholders."""
+    out, todo = [], [message]
+    while todo:  # strings go out, parts are opened, in order
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+        elif not item.is_multipart():
+            own = leaf(item)
+            out.append(own.as_file if own.named or own.kind not in TEXTS else own.text)
+        else:
+            boundary, inside = item.get_boundary(), []
+            for n, part in enumerate(item.iter_parts()):
+                if boundary:
+                    head = [f"{k}: {v}\n" for k, v in part.items() if k.lower() != "content-transfer-encoding"]
+                    inside += [f"--{boundary}\n", *head, *(["\n"] if head else []), part, "\n"]
+                else:
+                    inside += ["\n\n"] * (n > 0) + [part]
+            todo += reversed([*inside, f"--{boundary}--"] if boundary else inside)
+    return "".join(out)
 
 
 def p1(message) -> str:
@@ -65,33 +90,28 @@ def p1(message) -> str:
 
 
 def p2(message) -> str:
-    leaves = [p for p in message.walk() if not p.is_multipart()]
-    files = [_placeholder(p) for p in leaves if _is_file(p)]
-    texts = {kind: [_decoded(p) for p in leaves if not _is_file(p) and p.get_content_type() == kind] for kind in ("text/html", "text/plain")}
-    body = visible_text("\n\n".join(texts["text/html"])) if texts["text/html"] else "\n\n".join(texts["text/plain"]).strip()
-    tail = "\n\nAttachments:\n" + "\n".join(files) if files else ""
-    return (headers(message) + body + tail).strip() + "\n"
+    sections: dict[str, list[str]] = {}
+    for own in leaves(message):
+        kind, shown = ("files", own.as_file) if own.named else (own.kind, own.text)
+        sections.setdefault(kind, []).append(shown)
+    plain, pages = ("\n\n".join(sections.get(kind, [])) for kind in ("text/plain", "text/html"))
+    parts = [headers(message), visible_text(pages) if "text/html" in sections else plain.strip()]
+    if "files" in sections:
+        parts += ["\n\n", "\n".join(["Attachments:", *sections["files"]])]
+    return "".join(parts).strip() + "\n"
 
 
 def html_of(message) -> str | None:
     """All text/html parts, joined by line ends; null if there is none or a charset is unknown."""
-    found = []
-    for part in message.walk():
-        if part.get_content_type() == "text/html":
-            payload = part.get_payload(decode=True)
-            if payload is not None:
-                try:
-                    found.append(payload.decode(part.get_content_charset() or "utf-8", "replace"))
-                except LookupError:
-                    return None
-    return "\n".join(found) if found else None
+    pages = [own for own in leaves(message) if own.kind == "text/html"]
+    return "\n".join(own.text for own in pages) if pages and all(own.charset_known for own in pages) else None
 
 
 def parse(content: bytes) -> EmailMessage:
     return BytesParser(policy=policy.default).parsebytes(content)
 
 
-@arrow_function(PARSED)
+@arrow_function(PARSED, once=True)
 def parse_messages(contents: pd.Series) -> pd.DataFrame:
     out = []
     for content in contents:

@@ -44,3 +44,23 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         sc._mailgauge_shipped = True
     return spark
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back: what it took to make it is not done again.
+
+    Where that is not set, only a local master may use a folder of its own.
+    """
+    import tempfile
+    import uuid
+
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("mailgauge.saved.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="mailgauge-")
+        spark.conf.set("mailgauge.saved.dir", root)
+    path = f"{root.rstrip('/')}/mailgauge/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
