@@ -22,9 +22,33 @@ def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
     return F.when(n > 0, middle - half), F.when(n > 0, middle + half)
 
 
+#: Up to here the whole binomial tail is summed; beyond it the terms next to its end, in a number that grows with the square root.
+WHOLE_TAIL = 5_000
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n! for large n, by Stirling's series."""
+    x = n + 1
+    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
+
+
+def _large_tail(k: Column, n: Column) -> Column:
+    """Binomial tail up to k at 1/2, from k downwards; the terms left out are below 1e-300 of the first."""
+    first = log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * math.log(2)
+    steps = F.sequence(F.lit(1), F.least(k, 40 * F.sqrt(n) + 50).cast("int"))
+
+    def add(acc, i):
+        term = acc["term"] * (k - i + 1) / (n - k + i)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    one = F.lit(1.0)
+    return F.exp(first) * F.aggregate(steps, F.struct(one.alias("term"), one.alias("total")), add, lambda acc: acc["total"])
+
+
 def exact_mcnemar(b: Column, c: Column) -> Column:
     """Two-sided exact p of the discordant counts b and c: twice the binomial tail at 1/2, at most 1."""
-    k, n = F.least(b, c).cast("int"), (b + c).cast("double")
+    least, n = F.least(b, c).cast("double"), (b + c).cast("double")
+    k = F.least(least, F.lit(WHOLE_TAIL)).cast("int")
     # Terms C(n, i) in logarithms, each from the one before; the largest tail is summed scaled by 2^-n.
     start = F.struct((-n * math.log(2)).alias("term"), F.exp(-n * math.log(2)).alias("total"))
 
@@ -34,7 +58,7 @@ def exact_mcnemar(b: Column, c: Column) -> Column:
 
     steps = F.when(k >= 1, F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     tail = F.aggregate(steps, start, add, lambda acc: acc["total"])
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    return F.when(n == 0, 1.0).when(least > WHOLE_TAIL, F.least(F.lit(1.0), 2 * _large_tail(least, n))).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
 def matched_odds_ratio(b: Column, c: Column) -> Column:
@@ -58,8 +82,16 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     def log_p(x):
         return log_choose(row, x) + log_choose(n - row, column - x) - log_choose(n, column)
 
-    least = log_p(a) + 1e-7
-    return min(1.0, math.fsum(math.exp(log_p(x)) for x in range(max(0, column - (n - row)), min(row, column) + 1) if log_p(x) <= least))
+    least, mode, terms = log_p(a) + 1e-7, (row + 1) * (column + 1) // (n + 2), []
+    # From the likeliest table outwards; beyond e^-60 of the observed one nothing counts.
+    for tables in (range(mode, max(0, column - (n - row)) - 1, -1), range(mode + 1, min(row, column) + 1)):
+        for x in tables:
+            p = log_p(x)
+            if p < least - 60:
+                break
+            if p <= least:
+                terms.append(math.exp(p))
+    return min(1.0, math.fsum(terms))
 
 
 @arrow_function("double")

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from mailgauge.functions.stats import wilson
 from mailgauge.operators.clean import FACTORS
 
+# The three-way tables.
 THREE_WAY = (
     ("model", "prompt", "parser"),
+    ("model", "prompt", "year_num"),
     ("model", "parser", "obfuscation_clean"),
-    ("prompt", "parser", "obfuscation_clean"),
-    ("model", "prompt", "obfuscation_clean"),
     ("model", "year_num", "dataset_clean"),
-    ("model", "year_num", "obfuscation_clean"),
+    ("prompt", "parser", "obfuscation_clean"),
+    ("parser", "year_num", "dataset_clean"),
 )
 
 
@@ -123,5 +124,8 @@ def effect_ranges(levels: DataFrame) -> DataFrame:
 
 
 def flagged(contrast_table: DataFrame, threshold: float = 5.0) -> DataFrame:
-    size = F.col("absolute_difference_percentage_points")
-    return contrast_table.where(size >= threshold).withColumn("reason", F.concat(F.lit("absolute difference of at least "), F.lit(f"{threshold:g}"), F.lit(" points")))
+    """Contrasts of ``threshold`` points or more with scope and reason, the largest first."""
+    size, within = F.col("absolute_difference_percentage_points"), F.col("moderator") != ""
+    scope = F.when(within, F.concat_ws("_within_", "factor", "moderator")).otherwise("overall")
+    reason = F.format_string(f"absolute observed %sdifference >= {threshold:.1f} pp", F.when(within, "subgroup ").otherwise(""))
+    return contrast_table.where(size >= threshold).withColumn("analysis_scope", scope).withColumn("reason", reason).orderBy(size.desc(), *_WITHIN, "level_a", "level_b")

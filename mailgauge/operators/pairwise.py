@@ -101,4 +101,6 @@ def between_tests(df: DataFrame) -> DataFrame:
 
 
 def notable(tests: DataFrame, alpha: float = 0.05, points: float = 5.0) -> DataFrame:
-    return tests.where((F.col("p_holm") < alpha) | (F.abs("difference_percentage_points") >= points))
+    """Tests below ``alpha`` after Holm or with a difference of ``points`` or more, the smallest p first."""
+    kept = tests.where((F.col("p_holm") < alpha) | (F.abs("difference_percentage_points") >= points))
+    return kept.orderBy("p_holm", F.abs("difference_percentage_points").desc(), *(c for c in tests.columns if c.endswith(("_factor", "level_a", "level_b"))))

@@ -6,19 +6,22 @@ configurations or model terms.
 
 from __future__ import annotations
 
+import csv
+import io
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailgauge.operators.clean import FACTORS
+from mailgauge.sources.files import write_text
 
 # How factors, levels and terms read in tables.
-FACTOR_NAMES = dict(zip(FACTORS, ("Model", "Prompt", "Parser", "Year", "Dataset", "Obfuscation"), strict=True))
-LEVEL_NAMES = {"evidence": "Evidence", "guided": "Guided", "label": "Label", "nazario": "Nazario", "spam_archive": "SpamArchive", "no": "No obfuscation", "yes": "Obfuscation"}
+FACTOR_NAMES = dict(zip(FACTORS, ("Model", "Prompt", "Parser", "Collection year", "Dataset", "Obfuscation"), strict=True))
+LEVEL_NAMES = {"evidence": "Evidence", "guided": "Guided", "label": "Label", "nazario": "Nazario", "spam_archive": "SpamArchive", "no": "No", "yes": "Yes"}
 TERM_NAMES = (
     (r"^Intercept$", "Intercept"), (r"^C\(model.*\[T\.(.+)\]$", "$1"), (r"^C\(prompt.*\[T\.guided\]$", "Guided prompt"), (r"^C\(prompt.*\[T\.label\]$", "Label prompt"),
-    (r"^C\(parser.*\[T\.(.+)\]$", "Parser $1"), (r"^C\(year_num.*\[T\.(.+)\]$", "Year $1"), (r"^C\(dataset_clean.*\[T\.spam_archive\]$", "SpamArchive"), (r"^C\(dataset_clean.*\[T\.(.+)\]$", "Dataset $1"),
+    (r"^C\(parser.*\[T\.(.+)\]$", "Parser $1"), (r"^C\(year_num.*\[T\.(.+)\]$", "Collection year $1"), (r"^C\(dataset_clean.*\[T\.spam_archive\]$", "SpamArchive"), (r"^C\(dataset_clean.*\[T\.(.+)\]$", "Dataset $1"),
     (r"^C\(obfuscation_clean.*\[T\.yes\]$", "Obfuscated email"), (r"^C\(\w+.*\[T\.(.+)\]$", "$1"),
 )
 
@@ -43,7 +46,7 @@ def overall_recall(summary: DataFrame) -> DataFrame:
     parts = []
     for k, f in enumerate(FACTORS):
         own = summary.where(F.col("factor_set") == f)
-        parts.append(own.select(F.lit(k).alias("position"), F.lit(FACTOR_NAMES[f]).alias("Factor"), _level(F.col(f)).alias("Level"), F.bround(F.col("recall") * 100, 2).alias("Recall"), F.col("successes").alias("Successes"), F.col("observations").alias("Observations")))
+        parts.append(own.select(F.lit(k).alias("position"), F.lit(FACTOR_NAMES[f]).alias("Factor"), _level(F.col(f)).alias("Level"), F.bround(F.col("recall") * 100, 2).alias("Recall (%)"), F.col("successes").alias("Successes"), F.col("observations").alias("Observations")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -61,7 +64,7 @@ def condition_table(summary: DataFrame, rows: str, columns: str, levels: list[st
 
 
 def ranking_table(ranking: DataFrame) -> DataFrame:
-    return ranking.select(F.col("observed_rank").alias("Rank"), F.col("model").alias("Model"), F.initcap("prompt").alias("Prompt"), F.col("parser").alias("Parser"), F.col("successes").alias("Successes"), F.col("observations").alias("Observations"), F.bround("recall_pct", 2).alias("Recall"))
+    return ranking.select(F.col("observed_rank").alias("Rank"), F.col("model").alias("Model"), F.initcap("prompt").alias("Prompt"), F.col("parser").alias("Parser"), F.col("successes").alias("Successes"), F.col("observations").alias("Observations"), F.bround("recall_pct", 2).alias("Recall (%)"))
 
 
 def clean_term(term: Column) -> Column:
@@ -77,17 +80,26 @@ def clean_term(term: Column) -> Column:
 
 
 def gee_table(coefficients: DataFrame, specification: str, interactions: bool) -> DataFrame:
-    """Odds ratios, intervals and p-values of one model's main or interaction terms."""
+    """Odds ratios, intervals and p-values of one model's main terms, or of its interactions by rising p."""
     own = coefficients.where((F.col("model_specification") == specification) & (F.col("term") != "Intercept"))
     if own.isEmpty():
         raise ValueError(f"no coefficients of {specification}")
     own = own.where(F.col("term").contains(":") if interactions else ~F.col("term").contains(":"))
-    return own.select(clean_term(F.col("term")).alias("Variable"), format_odds(F.col("odds_ratio")).alias("OR"), format_interval(F.col("ci_low_or"), F.col("ci_high_or")).alias("CI"), *(format_p(F.col(c)).alias(n) for c, n in (("p_value", "raw_p"), ("p_holm", "holm_p"), ("p_fdr_bh", "fdr_p"))), "p_value")
+    p = {"Raw p": F.col("p_value"), "Holm p": F.col("p_holm"), "FDR p": F.col("p_fdr_bh")}
+    numbers = [c.alias(f"{n} numeric") for n, c in p.items()] if interactions else []
+    out = own.select(clean_term(F.col("term")).alias("Interaction" if interactions else "Variable"), format_odds(F.col("odds_ratio")).alias("OR"), format_interval(F.col("ci_low_or"), F.col("ci_high_or")).alias("95% CI"), *(format_p(c).alias(n) for n, c in p.items()), *numbers)
+    return out.orderBy("Raw p numeric", "Interaction") if interactions else out
+
+
+def notable_rows(table: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Interactions with any p-value below ``alpha``."""
+    return table.where(F.least(*(F.col(f"`{n} numeric`") for n in ("Raw p", "Holm p", "FDR p"))) < alpha)
 
 
 def model_selection(metadata: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.regexp_replace("model_specification", "^screen_", ""), "_X_", " × ")
-    return metadata.where("error is null").select(F.initcap(F.regexp_replace(name, "_", " ")).alias("Model"), F.col("converged").alias("Converged"), F.col("n_rows").alias("Rows"), F.col("n_clusters").alias("Clusters"), F.bround("qic", 2).alias("QIC"), F.bround("qicu", 2).alias("QICu"))
+    title = F.when(F.col("model_specification").isin("main_effects", "combined_key_interactions"), F.concat(F.upper(F.substring(name, 1, 1)), F.regexp_replace(F.expr("substring(model_specification, 2)"), "_", " "))).otherwise(F.initcap(F.regexp_replace(name, "_", " ")))
+    return metadata.where("error is null").select(title.alias("Model"), F.col("converged").alias("Converged"), F.col("n_rows").alias("Rows"), F.col("n_clusters").alias("Clusters"), F.bround("qic", 2).alias("QIC"), F.bround("qicu", 2).alias("QICu")).orderBy("QIC", "Model")
 
 
 def selected_mcnemar(tests: DataFrame) -> DataFrame:
@@ -126,6 +138,16 @@ def latex(table: DataFrame, caption: str, label: str, column_format: str | None
     return "\n".join([r"\begin{table}[t]", rf"\caption{{{caption}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{columns}}}", r"\toprule", head, r"\midrule", *rows, r"\bottomrule", r"\end{tabular}", r"\end{table}", ""])
 
 
+def save_table(table: DataFrame, folder: str, name: str, caption: str, label: str, column_format: str | None = None) -> None:
+    """A table as ``name``.csv and ``name``.tex in a folder (of any file system Hadoop knows)."""
+    text = io.StringIO()
+    out = csv.writer(text, lineterminator="\n")
+    out.writerow(table.columns)
+    out.writerows(["" if v is None else v for v in row] for row in table.collect())
+    write_text(table.sparkSession, text.getvalue(), f"{folder}/{name}.csv")
+    write_text(table.sparkSession, latex(table, caption, label, column_format), f"{folder}/{name}.tex")
+
+
 def text_report(title: str, tables: dict[str, DataFrame], rows: int = 30) -> str:
     """Named tables as tab-separated text, the first rows of each."""
     out = [title, "=" * len(title)]

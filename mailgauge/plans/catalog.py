@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from mailgauge.functions.columns import parsed_label
 from mailgauge.functions.stats import wilson
 from mailgauge.operators import classify, embedding, factorial, gee, hidden, mime, pairwise, tables, validate
-from mailgauge.operators.clean import FACTORS, KEY, clean, complete, prepare
+from mailgauge.operators.clean import FACTORS, KEY, clean, complete, merge_metadata, prepare
 from mailgauge.operators.registry import prompt_column, prompts
-from mailgauge.session import load
+from mailgauge.session import load, saved
 from mailgauge.sources import synthetic
 from mailgauge.sources.experiment import ANSWERS, experiment, lineitem_experiment
 from mailgauge.sources.files import unprocessed
@@ -152,7 +152,7 @@ def effect_ranges(spark, sf):
 
 
 def flagged_patterns(spark, sf):
-    return _rounded(factorial.flagged(factorial.contrasts(_levels(spark, sf))).select("factor", "moderator", "moderator_level", "level_a", "level_b", "absolute_difference_percentage_points", "reason"))
+    return _rounded(factorial.flagged(factorial.contrasts(_levels(spark, sf))).select("factor", "moderator", "moderator_level", "level_a", "level_b", "absolute_difference_percentage_points", "analysis_scope", "reason"))
 
 
 def mcnemar_counts(spark, sf):
@@ -171,8 +171,36 @@ def between_tests(spark, sf):
     return _rounded(pairwise.between_tests(_ready(spark, sf)), 9)
 
 
+def between_statistics(spark, sf):
+    """What of the between-e-mail tests needs no p-value."""
+    tests = pairwise.between_tests(_ready(spark, sf))
+    finite = F.when(F.col("successes_a") * F.col("failures_b") > 0, F.col("odds_ratio")).alias("finite_odds_ratio")
+    return _rounded(tests.select("test_family", "varying_factor", "model", "prompt", "parser", "conditioning_factor", "conditioning_level", "level_a", "level_b", "difference_percentage_points", finite, "minimum_expected_count", "chi_square", "test_used"), 9)
+
+
 def notable_mcnemar(spark, sf):
-    return _rounded(pairwise.notable(pairwise.mcnemar_tests(_ready(spark, sf))))
+    return _rounded(pairwise.notable(pairwise.mcnemar_tests(_ready(spark, sf)).drop("matched_odds_ratio")), 9)
+
+
+def notable_between(spark, sf):
+    return _rounded(pairwise.notable(pairwise.between_tests(_ready(spark, sf))))
+
+
+def mcnemar_odds(spark, sf):
+    tests, ratio = pairwise.mcnemar_tests(_ready(spark, sf)), F.col("matched_odds_ratio")
+    names = ("varying_factor", "level_a", "level_b", "subgroup_factor", "subgroup_level", "fixed_model", "fixed_prompt", "fixed_parser")
+    infinite = F.coalesce(ratio == float("inf"), F.lit(False))
+    return _rounded(tests.select(*names, F.when(~infinite, ratio).alias("finite_odds_ratio"), infinite.alias("is_infinite")))
+
+
+def merged_metadata(spark, sf):
+    """Answers joined with what is known of their e-mails."""
+    known = load(spark, sf, "labels").select(F.concat(F.lit("doc_"), "doc_id").alias("base_email_id"), F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
+    return merge_metadata(_mails(spark, sf).select("email_id"), known).select("email_id", "base_email_id", "quality", "toxic")
+
+
+def configurations(spark, sf):
+    return prepare(_clean(spark, sf)).groupBy("configuration", "collection").agg(F.count("*").alias("n"))
 
 
 def gee_coefficients(spark, sf):
@@ -184,7 +212,16 @@ def gee_metadata(spark, sf):
 
 
 def gee_main_table(spark, sf):
-    return tables.gee_table(gee.run_models(_ready(spark, sf), specs={"main_effects": gee.specifications()["main_effects"]})[0], "main_effects", False).drop("p_value")
+    return tables.gee_table(gee.run_models(_ready(spark, sf), specs={"main_effects": gee.specifications()["main_effects"]})[0], "main_effects", False)
+
+
+def _combined(spark, sf):
+    name = "combined_key_interactions"
+    return tables.gee_table(gee.run_models(_ready(spark, sf), specs={name: gee.specifications()[name]})[0], name, True)
+
+
+def gee_interactions_table(spark, sf):
+    return _combined(spark, sf)
 
 
 def model_selection_table(spark, sf):
@@ -278,7 +315,8 @@ def clean_html_text(spark, sf):
 
 
 def _found(spark, sf):
-    return hidden.detected(synthetic.pages_with_hidden_text(spark, sf))
+    """Fragments of all pages; the detector runs once whatever is made of them."""
+    return saved(hidden.detected(synthetic.pages_with_hidden_text(spark, sf)), "found")
 
 
 def hidden_fragments(spark, sf):
@@ -290,11 +328,19 @@ def hidden_runs(spark, sf):
     return embedding.hidden_runs(rows, "email_file")
 
 
-def nearest_visible(spark, sf):
-    """Runs and neighbours over events as fragments: a user's events in order, purchases hidden."""
+def _event_fragments(spark, sf):
+    """Events as fragments: a user's events in order, purchases hidden."""
     events = load(spark, sf, "events")
-    rows = events.select(F.col("user_id").alias("key"), F.col("event_id").cast("int").alias("frag_idx"), F.concat(F.lit(" "), "event_type", F.lit("  x")).alias("text"), (F.col("event_type") != "purchase").alias("visible"), F.when(F.col("event_id") % 7 == 0, "html_comment").otherwise("text").alias("type"))
-    return _rounded(embedding.with_runs(rows, "key").select("key", "frag_idx", "clean", "run_id", "prev_visible", "next_visible"))
+    return events.select(F.col("user_id").alias("key"), F.col("event_id").cast("int").alias("frag_idx"), F.concat(F.lit(" "), "event_type", F.lit("  x")).alias("text"), (F.col("event_type") != "purchase").alias("visible"), F.when(F.col("event_id") % 7 == 0, "html_comment").otherwise("text").alias("type"))
+
+
+def event_runs(spark, sf):
+    return _rounded(embedding.hidden_runs(embedding.with_runs(_event_fragments(spark, sf), "key"), "key"))
+
+
+def nearest_visible(spark, sf):
+    """Runs and neighbours over events as fragments."""
+    return _rounded(embedding.with_runs(_event_fragments(spark, sf), "key").select("key", "frag_idx", "clean", "run_id", "prev_visible", "next_visible"))
 
 
 def _words(spark, sf):
@@ -317,7 +363,11 @@ def strategy_counts(spark, sf):
 
 def hidden_summary(spark, sf):
     found, rows = _hidden(spark, sf)
-    return hidden.email_summary(synthetic.pages_with_hidden_text(spark, sf), found, rows)
+    return hidden.email_summary(found.select("email_file", "html"), found, rows)
+
+
+def hidden_flag_emails(spark, sf):
+    return hidden.flag_emails(hidden_summary(spark, sf))
 
 
 def hidden_corpus_stats(spark, sf):
@@ -327,9 +377,9 @@ def hidden_corpus_stats(spark, sf):
 def email_pipeline(spark, sf):
     """Raw messages to summary rows: MIME, detection, embedding, flags."""
     parsed = mime.parsed(synthetic.messages(spark, sf))
-    found = hidden.detected(parsed.select("email_file", "html"))
+    found = saved(hidden.detected(parsed.select("email_file", "html")), "found")
     rows = embedding.classified(hidden.fragment_rows(found, "email_file"), _words(spark, sf), "email_file")
-    return hidden.email_summary(parsed.select("email_file", "html"), found, rows)
+    return hidden.email_summary(found.select("email_file", "html"), found, rows)
 
 
 def parser_texts(spark, sf):
@@ -349,7 +399,7 @@ def wilson_orders(spark, sf):
     return _rounded(orders.select("o_orderpriority", "s", "n", low.alias("wilson_low"), high.alias("wilson_high")))
 
 
-_HELPERS = {"clean", "complete", "prepare", "experiment", "lineitem_experiment", "load", "parsed_label", "prompt_column", "prompts", "unprocessed", "wilson"}
+_HELPERS = {"clean", "complete", "prepare", "experiment", "lineitem_experiment", "load", "merge_metadata", "parsed_label", "prompt_column", "prompts", "saved", "unprocessed", "wilson"}
 
 
 def queries() -> dict[str, Query]:

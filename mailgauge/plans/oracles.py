@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from itertools import combinations, permutations
 
-from mailgauge.functions.stats import Z95
-from mailgauge.operators.clean import BETWEEN, FACTORS, REPEATED
-from mailgauge.operators.factorial import factor_sets
-from mailgauge.operators.registry import MODELS, PROMPTS
-
+from mailgauge.operators.registry import PROMPTS
+
+# Fixed values, stated here again so that the SQL does not follow the engine.
+REPEATED, BETWEEN = ("model", "prompt", "parser"), ("year_num", "dataset_clean", "obfuscation_clean")
+FACTORS = REPEATED + BETWEEN
+Z95 = 1.959963984540054
+SETS = [(f,) for f in FACTORS] + list(combinations(FACTORS, 2))
+SETS += [("model", "prompt", "parser"), ("model", "parser", "obfuscation_clean"), ("model", "prompt", "year_num")]
+SETS += [("prompt", "parser", "obfuscation_clean"), ("model", "year_num", "dataset_clean"), ("parser", "year_num", "dataset_clean")]
 _PROMPTS = ", ".join(f"('{p.prompt_id}', '{p.template.replace(chr(39), chr(39) * 2)}', {k})" for k, p in enumerate(PROMPTS.values()))
-_MODELS = ", ".join(f"('{m.model_name}', {m.context_limit})" for m in MODELS.values())
+_MODELS = "('meta-llama/Llama-3.1-8B-Instruct', 128000), ('Qwen/Qwen2.5-7B-Instruct', 131072)"  # fixed values
 
 CLEAN = """
 mails AS (
@@ -22,7 +26,7 @@ grid AS (
     coalesce((doc_id * 31 + mi * 17 + pi * 11 + qi * 7 + quality * 5) % 100 < 90 - 15 * mi - 8 * pi - 6 * qi - CASE WHEN year_num = 2025 THEN 10 ELSE 0 END - 12 * mi * pi, false) AS hit,
     n_chars // 4 + 50 AS tokens
   FROM mails, (VALUES ('Llama', 0), ('Qwen', 1)) m(model, mi), (VALUES ('label', 0), ('guided', 1), ('evidence', 2)) p(prompt, pi), (VALUES ('P1', 0), ('P2', 1)) q(parser, qi)),
-clean AS (
+clean AS MATERIALIZED (
   SELECT doc_id, base_email_id || '_' || parser AS email_id, base_email_id, model, prompt, parser, year_num::BIGINT AS year_num, dataset_clean, obfuscation_clean,
     CASE WHEN ran THEN 'ok' ELSE 'skipped_over_context' END AS status_clean, parsed AS parse_ok_bool, CASE WHEN parsed THEN hit::INT::DOUBLE END AS pred_label_num, 1::DOUBLE AS ground_truth_num,
     tokens <= 3050 AS fits_bool, tokens::DOUBLE AS input_tokens_num, greatest(0, tokens - 3050)::DOUBLE AS overflow_tokens_num, parsed AS parseable, (parsed AND hit)::BIGINT AS detected_end_to_end,
@@ -69,7 +73,7 @@ def _levels() -> str:
     for target, within in parts:
         name = "*".join(f for f in FACTORS if f in (target, within))
         rows.append(f"SELECT '{target}' AS factor, {target} AS level, '{within or ''}' AS moderator, {within or chr(39) * 2} AS moderator_level, successes::DOUBLE / observations AS recall FROM sets WHERE factor_set = '{name}'")
-    return f"sets AS ({_sets(factor_sets())}), levels AS ({' UNION ALL '.join(rows)})"
+    return f"sets AS ({_sets(SETS)}), levels AS ({' UNION ALL '.join(rows)})"
 
 
 _CONTRASTS = """contrasts AS (
@@ -111,7 +115,7 @@ def _between() -> str:
     for varying, within in [(f, None) for f in BETWEEN] + list(permutations(BETWEEN, 2)):
         by = f"model, prompt, parser, '{within or 'none'}' AS conditioning_factor, {within + '::VARCHAR' if within else chr(39) + 'all' + chr(39)} AS conditioning_level, {varying}::VARCHAR AS level"
         parts.append(f"SELECT '{'simple' if within else 'main'}' AS test_family, '{varying}' AS varying_factor, {by}, count(*) AS n, sum(detected_end_to_end)::BIGINT AS s FROM clean GROUP BY ALL")
-    return f"""levels AS ({' UNION ALL '.join(parts)}),
+    return f"""levels AS MATERIALIZED ({' UNION ALL '.join(parts)}),
 between_pairs AS (SELECT a.* EXCLUDE (level, n, s), a.level AS level_a, b.level AS level_b, a.n AS n_a, b.n AS n_b, a.s AS successes_a, b.s AS successes_b, a.n - a.s AS failures_a, b.n - b.s AS failures_b
   FROM levels a JOIN levels b ON a.test_family = b.test_family AND a.varying_factor = b.varying_factor AND a.model = b.model AND a.prompt = b.prompt AND a.parser = b.parser
     AND a.conditioning_factor = b.conditioning_factor AND a.conditioning_level = b.conditioning_level AND a.level < b.level WHERE least(a.n, b.n) >= 10)"""
@@ -146,9 +150,9 @@ def oracle_sql() -> dict[str, str]:
     line_names = ("l_returnflag", "l_linestatus", "o_orderpriority", "o_orderstatus")
     line_sets = [(n,) for n in line_names] + list(combinations(line_names, 2))
     ranking = lambda where: f"WITH {CLEAN}, s AS (SELECT model, prompt, parser, {_SUMS} FROM clean {where} GROUP BY ALL) SELECT *, {_measures()}, row_number() OVER (ORDER BY successes::DOUBLE / observations DESC, model, prompt, parser) AS observed_rank FROM s"
-    names = dict(zip(FACTORS, ("Model", "Prompt", "Parser", "Year", "Dataset", "Obfuscation"), strict=True))
-    level = lambda f: f"CASE {f}::VARCHAR WHEN 'evidence' THEN 'Evidence' WHEN 'guided' THEN 'Guided' WHEN 'label' THEN 'Label' WHEN 'no' THEN 'No obfuscation' WHEN 'yes' THEN 'Obfuscation' ELSE {f}::VARCHAR END"
-    overall = " UNION ALL ".join(f"SELECT {k}::BIGINT AS position, '{names[f]}' AS Factor, {level(f)} AS Level, round(round_even(100 * sum(detected_end_to_end)::DOUBLE / count(*), 2), 6) AS Recall, sum(detected_end_to_end)::BIGINT AS Successes, count(*) AS Observations FROM clean GROUP BY {f}" for k, f in enumerate(FACTORS))
+    names = dict(zip(FACTORS, ("Model", "Prompt", "Parser", "Collection year", "Dataset", "Obfuscation"), strict=True))
+    level = lambda f: f"CASE {f}::VARCHAR WHEN 'evidence' THEN 'Evidence' WHEN 'guided' THEN 'Guided' WHEN 'label' THEN 'Label' WHEN 'no' THEN 'No' WHEN 'yes' THEN 'Yes' ELSE {f}::VARCHAR END"
+    overall = " UNION ALL ".join(f"SELECT {k}::BIGINT AS position, '{names[f]}' AS Factor, {level(f)} AS Level, round(round_even(100 * sum(detected_end_to_end)::DOUBLE / count(*), 2), 6) AS \"Recall (%)\", sum(detected_end_to_end)::BIGINT AS Successes, count(*) AS Observations FROM clean GROUP BY {f}" for k, f in enumerate(FACTORS))
     mails = "mails AS (SELECT 'doc_' || doc_id || '_P1' AS email_id, doc_id, coalesce(text, '') AS text FROM documents)"
     asked = f"{mails}, asked AS (SELECT email_id, text, model_name, context_limit, prompt_id, template || chr(10) || chr(10) || 'E-mail:' || chr(10) || text AS prompt FROM mails, (VALUES {_MODELS}) m(model_name, context_limit), (VALUES {_PROMPTS}) p(prompt_id, template, pi))"
     words = "len(list_filter(string_split_regex({0}, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) + 50"
@@ -176,24 +180,29 @@ def oracle_sql() -> dict[str, str]:
         "correctness_mismatch": f"WITH {CLEAN} SELECT email_id, model, prompt, NOT correct_original_bool AS correct_original_bool, correct_reconstructed FROM clean WHERE doc_id % 29 = 0 AND correct_reconstructed IS NOT NULL",
         "label_counts": f"WITH {CLEAN} SELECT pred_label_num, count(*) AS n FROM clean GROUP BY 1",
         "sample_rows": f"WITH {CLEAN} SELECT base_email_id, model, prompt, parser, detected_end_to_end FROM clean ORDER BY 1, 2, 3, 4 LIMIT 50",
-        "factorial_summary": f"WITH {CLEAN}, s AS ({_sets(factor_sets())}) SELECT *, {_measures()} FROM s",
+        "factorial_summary": f"WITH {CLEAN}, s AS ({_sets(SETS)}) SELECT *, {_measures()} FROM s",
         "factorial_lineitem": f"WITH o AS (SELECT l_orderkey, l_returnflag, l_linestatus, o_orderpriority, o_orderstatus, (l_discount > 0.05)::INT AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey), s AS ({_sets(line_sets, 'o', 'sum(y)::BIGINT AS successes, count(y) AS observations, count(DISTINCT l_orderkey) AS unique_emails')}) SELECT *, {_measures()} FROM s",
         "configuration_ranking": ranking(""),
         "parseable_ranking": ranking("WHERE parseable"),
         "parseable_main": f"WITH {CLEAN}, p AS (SELECT * FROM clean WHERE parseable), s AS ({_sets([(f,) for f in FACTORS], 'p')}) SELECT *, {_measures()} FROM s",
         "all_contrasts": f"WITH {CLEAN}, {_levels()}, {_CONTRASTS} SELECT * REPLACE (round(recall_a, 6) AS recall_a, round(recall_b, 6) AS recall_b, round(difference, 6) AS difference), round(difference * 100, 6) AS difference_percentage_points, round(abs(difference) * 100, 6) AS absolute_difference_percentage_points, CASE WHEN recall_b <> 0 THEN round(difference / recall_b * 100, 6) END AS relative_change_vs_b_pct FROM contrasts",
         "effect_ranges": f"WITH {CLEAN}, {_levels()}, r AS (SELECT *, row_number() OVER (PARTITION BY factor, moderator, moderator_level ORDER BY recall, level) AS lo, row_number() OVER (PARTITION BY factor, moderator, moderator_level ORDER BY recall DESC, level) AS hi FROM levels) SELECT factor, moderator, moderator_level, max(level) FILTER (lo = 1) AS minimum_level, max(level) FILTER (hi = 1) AS maximum_level, round(min(recall), 6) AS minimum_recall, round(max(recall), 6) AS maximum_recall, round(max(recall) - min(recall), 6) AS recall_range FROM r GROUP BY 1, 2, 3",
-        "flagged_patterns": f"WITH {CLEAN}, {_levels()}, {_CONTRASTS} SELECT factor, moderator, moderator_level, level_a, level_b, round(abs(difference) * 100, 6) AS absolute_difference_percentage_points, 'absolute difference of at least 5 points' AS reason FROM contrasts WHERE abs(difference) * 100 >= 5",
+        "flagged_patterns": f"WITH {CLEAN}, {_levels()}, {_CONTRASTS} SELECT factor, moderator, moderator_level, level_a, level_b, round(abs(difference) * 100, 6) AS absolute_difference_percentage_points, CASE WHEN moderator = '' THEN 'overall' ELSE factor || '_within_' || moderator END AS analysis_scope, CASE WHEN moderator = '' THEN 'absolute observed difference >= 5.0 pp' ELSE 'absolute observed subgroup difference >= 5.0 pp' END AS reason FROM contrasts WHERE abs(difference) * 100 >= 5",
         "mcnemar_counts": f"WITH {CLEAN}, {_mcnemar()} SELECT * FROM mcnemar",
         "mcnemar_tests": f"WITH {CLEAN}, {_mcnemar()}, {_TESTED}, {_adjusted('tested', 'varying_factor, subgroup_factor')} SELECT * EXCLUDE (m, i) REPLACE (round(recall_a, 9) AS recall_a, round(recall_b, 9) AS recall_b, round(difference_percentage_points, 9) AS difference_percentage_points, round(p_value, 9) AS p_value, round(p_holm, 9) AS p_holm, round(p_fdr_bh, 9) AS p_fdr_bh) FROM adjusted",
         "between_counts": f"WITH {CLEAN}, {_between()} SELECT * FROM between_pairs",
+        "between_statistics": f"WITH {CLEAN}, {_between()}, t AS (SELECT *, n_a + n_b AS n, successes_a + successes_b AS s, failures_a + failures_b AS f FROM between_pairs), x AS (SELECT *, least(n_a, n_b) * least(s, f)::DOUBLE / n AS least_expected FROM t) SELECT test_family, varying_factor, model, prompt, parser, conditioning_factor, conditioning_level, level_a, level_b, round((successes_a::DOUBLE / n_a - successes_b::DOUBLE / n_b) * 100, 9) AS difference_percentage_points, CASE WHEN successes_a * failures_b > 0 THEN round(failures_a * successes_b / (successes_a * failures_b)::DOUBLE, 9) END AS finite_odds_ratio, round(least_expected, 9) AS minimum_expected_count, CASE WHEN s > 0 AND f > 0 THEN round(n * pow((successes_a * failures_b - successes_b * failures_a)::DOUBLE, 2) / (n_a::DOUBLE * n_b * s * f), 9) END AS chi_square, CASE WHEN s = 0 OR f = 0 THEN 'No outcome variation' WHEN least_expected < 5 THEN 'Fisher exact' ELSE 'Pearson chi-square' END AS test_used FROM x",
+        "notable_mcnemar": f"WITH {CLEAN}, {_mcnemar()}, {_TESTED}, {_adjusted('tested', 'varying_factor, subgroup_factor')} SELECT * EXCLUDE (m, i) REPLACE (round(recall_a, 9) AS recall_a, round(recall_b, 9) AS recall_b, round(difference_percentage_points, 9) AS difference_percentage_points, round(p_value, 9) AS p_value, round(p_holm, 9) AS p_holm, round(p_fdr_bh, 9) AS p_fdr_bh) FROM adjusted WHERE p_holm < 0.05 OR abs(difference_percentage_points) >= 5",
+        "mcnemar_odds": f"WITH {CLEAN}, {_mcnemar()} SELECT varying_factor, level_a, level_b, subgroup_factor, subgroup_level, fixed_model, fixed_prompt, fixed_parser, CASE WHEN a_wrong_b_correct > 0 THEN round(a_correct_b_wrong::DOUBLE / a_wrong_b_correct, 6) END AS finite_odds_ratio, a_wrong_b_correct = 0 AND a_correct_b_wrong > 0 AS is_infinite FROM mcnemar",
+        "merged_metadata": "SELECT 'doc_' || d.doc_id || '_P1' AS email_id, 'doc_' || d.doc_id AS base_email_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+        "configurations": f"WITH {CLEAN} SELECT model || ' | ' || prompt || ' | ' || parser AS configuration, year_num || '_' || dataset_clean AS collection, count(*) AS n FROM clean GROUP BY 1, 2",
         "table_overall": f"WITH {CLEAN} {overall}",
         "table_model_prompt": _pivot("model", "prompt", ["evidence", "guided", "label"]),
         "table_model_parser": _pivot("model", "parser", ["P1", "P2"], ("P1", "P2")),
         "table_parser_obfuscation": _pivot("parser", "obfuscation_clean", ["no", "yes"], ("yes", "no")),
         "table_parser_dataset": _pivot("parser", "dataset_clean", ["set_a", "set_b"], ("set_a", "set_b")),
         "table_dataset_year": _pivot("dataset_clean", "year_num", ["2023", "2025"], ("2025", "2023")),
-        "table_ranking": f"WITH r AS ({ranking('')}) SELECT observed_rank AS Rank, model AS Model, upper(prompt[1]) || prompt[2:] AS Prompt, parser AS Parser, successes AS Successes, observations AS Observations, round_even(100 * successes::DOUBLE / observations, 2) AS Recall FROM r",
+        "table_ranking": f"WITH r AS ({ranking('')}) SELECT observed_rank AS Rank, model AS Model, upper(prompt[1]) || prompt[2:] AS Prompt, parser AS Parser, successes AS Successes, observations AS Observations, round_even(100 * successes::DOUBLE / observations, 2) AS \"Recall (%)\" FROM r",
         "table_mcnemar": f"WITH {CLEAN}, {_mcnemar()}, {_TESTED}, {_adjusted('tested', 'varying_factor, subgroup_factor')} SELECT varying_factor AS Factor, level_a || ' vs ' || level_b AS Comparison, {fix_condition} AS Condition, n_pairs AS Pairs, round_even(recall_a * 100, 2) AS RecallA, round_even(recall_b * 100, 2) AS RecallB, round_even(difference_percentage_points, 2) AS Difference, a_correct_b_wrong || '/' || a_wrong_b_correct AS Discordant, {_FORMAT_P.format('p_value')} AS raw_p, {_FORMAT_P.format('p_holm')} AS holm_p, {_FORMAT_P.format('p_fdr_bh')} AS fdr_p FROM adjusted WHERE subgroup_factor = 'all'",
         "parse_labels": f"WITH r AS (SELECT doc_id, {form_list}[doc_id % {len(forms)} + 1] AS raw_output FROM documents), l AS (SELECT *, {_label('raw_output')} AS pred_label FROM r) SELECT *, pred_label IS NOT NULL AS parse_ok FROM l",
         "prompt_build": f"WITH f AS (SELECT doc_id, prompt_id, template || chr(10) || chr(10) || 'E-mail:' || chr(10) || coalesce(text, '') AS x FROM documents, (VALUES {_PROMPTS}) p(prompt_id, template, pi)) SELECT doc_id, prompt_id, length(x) AS prompt_chars, md5(x) AS prompt_md5 FROM f",
@@ -203,12 +212,21 @@ def oracle_sql() -> dict[str, str]:
         "conversation_tokens": f"SELECT conv_id, role, sum({words.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} - 50)::BIGINT AS tokens, count(*) AS turns FROM conversations GROUP BY 1, 2",
         "lexicon_zipf": "WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY 1, 2) SELECT lang, word, n, round(log10(n * 1e9 / sum(n) OVER (PARTITION BY lang)), 6) AS zipf FROM c",
         "page_comments": r"WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '<!--((?s:.*?))-->', 1)) AS text FROM pages) SELECT page_id, trim(text) AS text, count(*) AS n FROM c GROUP BY 1, 2",
-        "nearest_visible": f"""WITH e AS (SELECT user_id AS key, event_id AS frag_idx, ' ' || event_type || '  x' AS text, event_type <> 'purchase' AS visible, event_id % 7 = 0 AS comment FROM events WHERE user_id % 10 = 0),
+        "nearest_visible": f"""WITH e AS (SELECT user_id AS key, event_id AS frag_idx, ' ' || event_type || '  x' AS text, event_type <> 'purchase' AS visible, event_id % 7 = 0 AS comment FROM events),
 c AS (SELECT *, {clean_text} AS clean FROM e),
 s AS (SELECT *, (NOT visible AND (coalesce(lag(visible) OVER w, true) OR comment OR coalesce(lag(comment) OVER w, false)))::INT AS starts, CASE WHEN visible AND clean <> '' THEN text END AS seen FROM c WINDOW w AS (PARTITION BY key ORDER BY frag_idx))
 SELECT key, frag_idx, clean, CASE WHEN NOT visible THEN sum(starts) OVER (PARTITION BY key ORDER BY frag_idx ROWS UNBOUNDED PRECEDING) END::BIGINT AS run_id,
   last_value(seen IGNORE NULLS) OVER (PARTITION BY key ORDER BY frag_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_visible,
   first_value(seen IGNORE NULLS) OVER (PARTITION BY key ORDER BY frag_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_visible FROM s""",
+        "event_runs": f"""WITH e AS (SELECT user_id AS key, event_id AS frag_idx, ' ' || event_type || '  x' AS text, event_type <> 'purchase' AS visible, event_id % 7 = 0 AS comment FROM events),
+c AS (SELECT *, {clean_text} AS clean FROM e),
+s AS (SELECT *, (NOT visible AND (coalesce(lag(visible) OVER w, true) OR comment OR coalesce(lag(comment) OVER w, false)))::INT AS starts, CASE WHEN visible AND clean <> '' THEN text END AS seen FROM c WINDOW w AS (PARTITION BY key ORDER BY frag_idx)),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY key ORDER BY frag_idx ROWS UNBOUNDED PRECEDING)::BIGINT AS run_id,
+  last_value(seen IGNORE NULLS) OVER (PARTITION BY key ORDER BY frag_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev,
+  first_value(seen IGNORE NULLS) OVER (PARTITION BY key ORDER BY frag_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM s),
+g AS (SELECT key, run_id, min(frag_idx) AS first_idx, count(*) AS n_fragments, string_agg(clean, ' ' ORDER BY frag_idx) AS hidden_text, bool_and(comment) AS is_comment, bool_and(clean = '') AS only_blanks,
+  first(prev ORDER BY frag_idx) AS prev_visible, first(next ORDER BY frag_idx DESC) AS next_visible FROM r WHERE NOT visible GROUP BY 1, 2)
+SELECT *, coalesce(regexp_matches(prev_visible, '[A-Za-z]+\\s*$') AND regexp_matches(next_visible, '^\\s*[A-Za-z]+'), false) AS splits_word FROM g""",
         "incremental_new_files": "SELECT page_id, url AS path FROM pages WHERE page_id % 3 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)",
         "wilson_orders": f"WITH o AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS s, count(*) AS n FROM orders GROUP BY 1) SELECT *, round({_interval('s', 'n', '-')}, 6) AS wilson_low, round({_interval('s', 'n', '+')}, 6) AS wilson_high FROM o",
     }

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailgauge.functions import stats
-from mailgauge.operators import factorial, gee, pairwise, tables
+from mailgauge.operators import factorial, gee, pairwise, reports, tables
 
 # Published counts and figures of the experiment.
 MODEL = [("Llama", 821, 960), ("Qwen", 632, 960)]
@@ -166,3 +166,71 @@ def test_gee_specifications():
     levels = {"model": ["Llama", "Qwen"], "prompt": ["evidence", "guided", "label"], "parser": ["P1", "P2"], "year_num": ["2023", "2025"], "dataset_clean": ["nazario", "spam_archive"], "obfuscation_clean": ["no", "yes"]}
     sizes = [len(gee.Design(t, levels).names) for t in gee.specifications().values()]
     assert len(sizes) == 17 and sizes[0] == 8 and sizes[-1] == 18 and sum(sizes) == 166
+
+
+# The published three-way tables, labels and model names.
+THREE_WAY = {"model*prompt*parser", "model*prompt*year_num", "model*parser*obfuscation_clean", "model*year_num*dataset_clean", "prompt*parser*obfuscation_clean", "parser*year_num*dataset_clean"}
+LEVELS = [("Model", "Llama"), ("Model", "Qwen"), ("Prompt", "Evidence"), ("Prompt", "Guided"), ("Prompt", "Label"), ("Parser", "P1"), ("Parser", "P2"), ("Collection year", "2023"), ("Collection year", "2025"), ("Dataset", "Nazario"), ("Dataset", "SpamArchive"), ("Obfuscation", "No"), ("Obfuscation", "Yes")]
+MODELS = [("combined_key_interactions", "Combined key interactions", 1703.22), ("screen_year_X_dataset", "Year × Dataset", 1757.65), ("main_effects", "Main effects", 1794.7)]
+
+
+@pytest.fixture(scope="module")
+def answers(spark):
+    rng, rows = np.random.default_rng(5), []
+    for i in range(64):
+        for m in ("Llama", "Qwen"):
+            for k, q in enumerate(("evidence", "guided", "label")):
+                for p in ("P1", "P2"):
+                    rows.append((f"e{i}", m, q, p, 2023 + 2 * (i % 2), ("nazario", "spam_archive")[i // 2 % 2], ("no", "yes")[i // 4 % 2], int(rng.random() < 0.9 - 0.3 * (m == "Qwen") - 0.1 * k - 0.1 * (p == "P2"))))
+    return spark.createDataFrame(rows, COLUMNS).withColumn("parseable", F.lit(True))
+
+
+def test_sets_and_levels_are_the_published_ones(answers):
+    summary = factorial.summarise_sets(answers, factorial.factor_sets())
+    assert {r[0] for r in summary.select("factor_set").distinct().collect() if r[0].count("*") == 2} == THREE_WAY
+    table = tables.overall_recall(summary).orderBy("position", "Level")
+    assert [(r["Factor"], r["Level"]) for r in table.collect()] == LEVELS and "Recall (%)" in table.columns
+
+
+def test_model_names_and_order(spark):
+    rows = [(n, True, 1920, 160, q + 0.001, q + 8, None) for n, _, q in reversed(MODELS)]
+    meta = spark.createDataFrame(rows, "model_specification string, converged boolean, n_rows int, n_clusters int, qic double, qicu double, error string")
+    assert [(r["Model"], r["QIC"]) for r in tables.model_selection(meta).collect()] == [(m, q) for _, m, q in MODELS]
+    assert spark.range(1).select(tables.clean_term(F.lit("C(year_num, Treatment(reference=2023))[T.2025]"))).first()[0] == "Collection year 2025"
+
+
+def test_flags_say_scope_and_reason(answers):
+    rows = factorial.flagged(factorial.contrasts(factorial.all_levels(factorial.summarise_sets(answers, factorial.factor_sets())))).collect()
+    sizes = [r["absolute_difference_percentage_points"] for r in rows]
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] >= 5
+    assert {r["reason"] for r in rows if r["moderator"]} == {"absolute observed subgroup difference >= 5.0 pp"}
+    assert {(r["analysis_scope"], r["reason"]) for r in rows if not r["moderator"]} == {("overall", "absolute observed difference >= 5.0 pp")}
+
+
+def test_large_counts_in_paired_and_fisher_tests(spark):
+    for b, c in ((6_000, 6_100), (5_400, 6_600), (1_000_000, 1_001_000)):
+        k, n = min(b, c), b + c
+        terms = [math.lgamma(n + 1) - math.lgamma(k - i + 1) - math.lgamma(n - k + i + 1) - n * math.log(2) for i in range(0, min(k, 60_000) + 1)]
+        want = min(1.0, 2 * math.fsum(map(math.exp, terms)))
+        assert one(spark, stats.exact_mcnemar(F.lit(b), F.lit(c)))[0] == pytest.approx(want, rel=1e-5)
+    assert stats.fisher_two_sided(3, 999_997, 2, 1_999_998) == pytest.approx(stats.fisher_two_sided(2, 1_999_998, 3, 999_997))
+    assert stats.fisher_two_sided(8, 2, 1, 5) == pytest.approx(0.034965, abs=1e-6)
+
+
+def test_reports_and_tables(spark, answers, tmp_path):
+    specs = {n: t for n, t in gee.specifications().items() if n in ("main_effects", "combined_key_interactions")}
+    coefficients, meta = gee.run_models(answers, specs=specs)
+    paired, apart = pairwise.mcnemar_tests(answers), pairwise.between_tests(answers)
+    contrasts = factorial.contrasts(factorial.all_levels(factorial.summarise_sets(answers, factorial.factor_sets())))
+    text = reports.descriptive(answers, factorial.summarise_sets(answers, factorial.factor_sets()), contrasts)
+    assert "Rows: 768" in text and "Unique underlying emails: 64" in text and "TOP CONFIGURATIONS" in text
+    text = reports.inferential(answers, paired, apart, coefficients, gee.notable_interactions(coefficients))
+    assert f"McNemar tests: {paired.count()}" in text and "GEE coefficient rows: 26" in text
+    text = reports.paper_tables(answers, str(tmp_path), paired, coefficients, meta)
+    assert "Collection year" in text and "BEST GEE MODEL" in text
+    names = {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")}
+    assert {"table_overall_recall.csv", "table_overall_recall.tex", "table_model_parser.tex", "table_dataset_year.csv", "results_numbers_summary.txt", "gee_formulas.json"} <= names
+    lines = (tmp_path / "table_overall_recall.csv").read_text().splitlines()
+    assert lines[0] == "Factor,Level,Recall (%),Successes,Observations" and len(lines) == 14
+    inter = tables.gee_table(coefficients, "combined_key_interactions", True)
+    assert tables.notable_rows(inter, 2.0).count() == inter.count() == 10
