@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from mailgauge.functions.stats import adjusted
 from mailgauge.operators.clean import FACTORS
+from mailgauge.session import saved
 
-LOCAL_PATTERNS = 200_000
+LOCAL_PATTERNS = 50_000
 Z95 = 1.959963984540054
 # The level other levels are compared with.
 REFERENCES = {"model": "Llama", "prompt": "evidence", "parser": "P1", "year_num": "2023", "dataset_clean": "nazario", "obfuscation_clean": "no"}
@@ -81,39 +82,60 @@ def cluster_patterns(df: DataFrame, outcome: str = "detected_end_to_end", cluste
     return own.groupBy("pattern").agg(F.count("*").alias("n"))
 
 
-def _prepared(patterns, design: Design) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    return [(design.matrix([tuple(r[:-1]) for r in p]), np.array([r[-1] for r in p], float), n) for p, n in patterns]
+#: Clusters that are summed at once.
+BLOCK = 4_096
+
+
+class Clusters:
+    """Patterns as design rows: of each cluster size the rows' numbers in a table of distinct design rows, outcomes and counts."""
+
+    def __init__(self, patterns, design: Design):
+        cells: dict[tuple, int] = {}
+        sizes: dict[int, tuple[list, list, list]] = {}
+        for pattern, n in patterns:
+            at, y, counts = sizes.setdefault(len(pattern), ([], [], []))
+            at.append([cells.setdefault(tuple(r[:-1]), len(cells)) for r in pattern])
+            y.append([r[-1] for r in pattern])
+            counts.append(n)
+        self.table = design.matrix(list(cells))
+        self.blocks = [tuple(np.array(v[k : k + BLOCK]) for v in own) for own in sizes.values() for k in range(0, len(own[0]), BLOCK)]
+
+    def __iter__(self):
+        for at, y, n in self.blocks:
+            yield self.table[at], y.astype(float), n.astype(float)
 
 
 def _sums(clusters, beta: np.ndarray, alpha: float) -> dict[str, np.ndarray | float]:
     """Sums over clusters: score, bread, meat, independence information, residual products, quasi-likelihood."""
     p = len(beta)
     out = {"score": np.zeros(p), "bread": np.zeros((p, p)), "meat": np.zeros((p, p)), "naive": np.zeros((p, p)), "squares": 0.0, "pairs": 0.0, "rows": 0.0, "n_pairs": 0.0, "clusters": 0.0, "quasi": 0.0}
-    for x, y, n in clusters:
-        m, eta = len(y), x @ beta
-        mu = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
+    for x, y, n in clusters:  # clusters x rows x columns, clusters x rows, clusters
+        m = y.shape[1]
+        mu = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         sd = np.sqrt(mu * (1 - mu))
         r = (y - mu) / sd
-        d = x * sd[:, None]  # D = A X, standardised by A^-1/2
+        d = x * sd[:, :, None]  # D = A X, standardised by A^-1/2
         shrink = alpha / (1 + (m - 1) * alpha)
-        inverse = lambda v: (v - shrink * v.sum(axis=0)) / (1 - alpha)  # noqa: E731, B023
-        di, u = inverse(d), d.T @ inverse(r)
-        out["score"] += n * u
-        out["bread"] += n * d.T @ di
-        out["meat"] += n * np.outer(u, u)
-        out["naive"] += n * d.T @ d
-        out["squares"] += n * float(r @ r)
-        out["pairs"] += n * float(r.sum() ** 2 - r @ r) / 2
-        out["rows"] += n * m
-        out["n_pairs"] += n * m * (m - 1) / 2
-        out["clusters"] += n
-        out["quasi"] += n * float((y * np.log(mu) + (1 - y) * np.log(1 - mu)).sum())
+        inverse = lambda v: (v - shrink * v.sum(axis=1, keepdims=True)) / (1 - alpha)  # noqa: E731, B023
+        u = np.einsum("kmp,km->kp", d, inverse(r))
+        flat, weighted = d.reshape(-1, p), (d * n[:, None, None]).reshape(-1, p)
+        squares = (r * r).sum(axis=1)
+        out["score"] += n @ u
+        out["bread"] += weighted.T @ inverse(d).reshape(-1, p)
+        out["meat"] += (u * n[:, None]).T @ u
+        out["naive"] += weighted.T @ flat
+        out["squares"] += float(n @ squares)
+        out["pairs"] += float(n @ (r.sum(axis=1) ** 2 - squares)) / 2
+        out["rows"] += float(n.sum()) * m
+        out["n_pairs"] += float(n.sum()) * m * (m - 1) / 2
+        out["clusters"] += float(n.sum())
+        out["quasi"] += float(n @ (y * np.log(mu) + (1 - y) * np.log(1 - mu)).sum(axis=1))
     return out
 
 
 class LocalClusters:
     def __init__(self, patterns, design: Design):
-        self.clusters = _prepared(patterns, design)
+        self.clusters = Clusters(patterns, design)
 
     def sums(self, beta, alpha):
         return _sums(self.clusters, beta, alpha)
@@ -132,7 +154,7 @@ class SparkClusters:
             import pandas as pd
 
             for batch in batches:
-                own = _prepared([([tuple(r.values()) for r in p], n) for p, n in zip(batch["pattern"], batch["n"], strict=True)], design)
+                own = Clusters([([tuple(r.values()) for r in p], n) for p, n in zip(batch["pattern"], batch["n"], strict=True)], design)
                 flat = np.concatenate([np.ravel(v) for v in _sums(own, beta, alpha).values()])
                 yield pd.DataFrame({"at": range(len(flat)), "v": flat})
 
@@ -185,7 +207,7 @@ def fit(clusters, names: list[str], most: int = 300, tolerance: float = 1e-8, ex
 def run_models(df: DataFrame, outcome: str = "detected_end_to_end", specs: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Coefficients (with corrections per model) and one metadata row per model; a failed fit has its error there."""
     spark: SparkSession = df.sparkSession
-    patterns = cluster_patterns(df, outcome).cache()
+    patterns = saved(cluster_patterns(df, outcome), "gee-patterns")
     levels = {f: sorted(r[0] for r in df.select(F.col(f).cast("string")).distinct().collect()) for f in FACTORS}  # a few each
     few = patterns.count() <= LOCAL_PATTERNS
     local = [([tuple(r) for r in row["pattern"]], row["n"]) for row in patterns.collect()] if few else None
@@ -202,7 +224,6 @@ def run_models(df: DataFrame, outcome: str = "detected_end_to_end", specs: dict
             z = b / se if se else float("inf")
             low, high = b - Z95 * se, b + Z95 * se
             coefficients.append((name, design.formula, term, b, se, z, math.erfc(abs(z) / math.sqrt(2)), math.exp(b), low, high, math.exp(low), math.exp(high)))
-    patterns.unpersist()
     table = spark.createDataFrame(
         coefficients,
         "model_specification string, formula string, term string, coefficient_log_odds double, standard_error double, z_statistic double, p_value double, odds_ratio double, ci_low_log_odds double, ci_high_log_odds double, ci_low_or double, ci_high_or double",

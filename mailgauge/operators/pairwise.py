@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import permutations
+from itertools import combinations, permutations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,30 +22,27 @@ def _cells(df: DataFrame) -> DataFrame:
 
 
 def mcnemar_counts(df: DataFrame) -> DataFrame:
-    """Paired counts for each varying factor, pair of levels, fixed levels and subgroup (all, or a between factor's level)."""
-    cells, tables = _cells(df), []
-    for varying in REPEATED:
+    """Paired counts for each varying factor, pair of levels, fixed levels and subgroup (all, or a between factor's level).
+
+    Two shuffles: an e-mail's cells (as many as the design has configurations) meet in one row and give its
+    pairs, whose counts are summed.
+    """
+    own = _cells(df).groupBy("base_email_id").agg(F.collect_list(F.struct(*REPEATED, *BETWEEN, "y")).alias("cells"))
+
+    def pairs_of(varying: str):
         fixed = [f for f in REPEATED if f != varying]
-        b = cells.select("base_email_id", *fixed, F.col(varying).alias("level_b"), F.col("y").alias("y_b"))
-        pairs = cells.withColumnRenamed(varying, "level_a").join(b, ["base_email_id", *fixed]).where("level_a < level_b")
-        subgroups = F.explode(F.array(F.struct(F.lit("all").alias("factor"), F.lit("all").alias("level")), *(F.struct(F.lit(g).alias("factor"), F.col(g).cast("string").alias("level")) for g in BETWEEN)))
-        pairs = pairs.withColumn("sub", subgroups)
-        n = lambda x, y: F.count_if((F.col("y") == x) & (F.col("y_b") == y))
-        counted = pairs.groupBy("level_a", "level_b", *fixed, "sub").agg(
-            F.count("*").alias("n_pairs"), n(1, 1).alias("both_correct"), n(1, 0).alias("a_correct_b_wrong"), n(0, 1).alias("a_wrong_b_correct"), n(0, 0).alias("both_wrong")
-        )
-        tables.append(
-            counted.select(
-                F.lit(varying).alias("varying_factor"),
-                "level_a",
-                "level_b",
-                F.col("sub.factor").alias("subgroup_factor"),
-                F.col("sub.level").alias("subgroup_level"),
-                *(F.col(f).alias(f"fixed_{f}") if f in fixed else F.lit(None).cast("string").alias(f"fixed_{f}") for f in REPEATED),
-                *("n_pairs", "both_correct", "a_correct_b_wrong", "a_wrong_b_correct", "both_wrong"),
-            )
-        )
-    return reduce(DataFrame.unionByName, tables)
+        match = lambda a, b: reduce(lambda x, y: x & y, (a[f] == b[f] for f in fixed)) & (a[varying] < b[varying])
+        pair = lambda a: F.transform(F.filter("cells", lambda b: match(a, b)), lambda b: F.struct(F.lit(varying).alias("varying_factor"), a.alias("a"), b[varying].alias("level_b"), b["y"].alias("y_b")))
+        return F.flatten(F.transform("cells", pair))
+
+    pairs = own.select(F.explode(F.concat(*map(pairs_of, REPEATED))).alias("p")).select("p.*")
+    level_a = reduce(lambda c, f: c.when(F.col("varying_factor") == f, F.col(f"a.{f}")), REPEATED[1:], F.when(F.col("varying_factor") == REPEATED[0], F.col(f"a.{REPEATED[0]}")))
+    subgroups = F.array(F.struct(F.lit("all").alias("factor"), F.lit("all").alias("level")), *(F.struct(F.lit(g).alias("factor"), F.col(f"a.{g}").cast("string").alias("level")) for g in BETWEEN))
+    fixed = [F.when(F.col("varying_factor") != f, F.col(f"a.{f}")).alias(f"fixed_{f}") for f in REPEATED]
+    rows = pairs.select("varying_factor", level_a.alias("level_a"), "level_b", F.explode(subgroups).alias("sub"), *fixed, F.col("a.y").alias("y"), "y_b")
+    n = lambda x, y: F.count_if((F.col("y") == x) & (F.col("y_b") == y))
+    by = ["varying_factor", "level_a", "level_b", F.col("sub.factor").alias("subgroup_factor"), F.col("sub.level").alias("subgroup_level"), *(f"fixed_{f}" for f in REPEATED)]
+    return rows.groupBy(*by).agg(F.count("*").alias("n_pairs"), n(1, 1).alias("both_correct"), n(1, 0).alias("a_correct_b_wrong"), n(0, 1).alias("a_wrong_b_correct"), n(0, 0).alias("both_wrong"))
 
 
 def mcnemar_tests(df: DataFrame) -> DataFrame:
@@ -65,16 +62,22 @@ def mcnemar_tests(df: DataFrame) -> DataFrame:
 
 def between_counts(df: DataFrame, minimum: int = MINIMUM_GROUP) -> DataFrame:
     """Group sizes and successes of two levels of an e-mail factor, per configuration: overall and within another factor's level."""
-    config, tables = list(REPEATED), []
-    for varying, within in [(f, None) for f in BETWEEN] + list(permutations(BETWEEN, 2)):
-        by = [*config, F.lit(within or "none").alias("conditioning_factor"), (F.col(within).cast("string") if within else F.lit("all")).alias("conditioning_level")]
-        level = df.groupBy(*by, F.col(varying).cast("string").alias("level")).agg(F.count("*").alias("n"), F.sum(OUTCOME).alias("s"))
-        keys = [*config, "conditioning_factor", "conditioning_level"]
-        a = level.select(*keys, F.col("level").alias("level_a"), F.col("n").alias("n_a"), F.col("s").alias("successes_a"))
-        b = level.select(*keys, F.col("level").alias("level_b"), F.col("n").alias("n_b"), F.col("s").alias("successes_b"))
-        pair = a.join(b, keys).where((F.col("level_a") < F.col("level_b")) & (F.least("n_a", "n_b") >= minimum))
-        tables.append(pair.select(F.lit("main" if within is None else "simple").alias("test_family"), F.lit(varying).alias("varying_factor"), *keys, "level_a", "level_b", "n_a", "n_b", "successes_a", "successes_b"))
-    out = reduce(DataFrame.unionByName, tables)
+    keys = ["test_family", "varying_factor", *REPEATED, "conditioning_factor", "conditioning_level"]
+    sets = [(f,) for f in BETWEEN] + list(combinations(BETWEEN, 2))
+    name = F.concat_ws("*", *(F.when(F.grouping(f) == 0, f) for f in BETWEEN)).alias("factors")
+    # One pass: rows of configuration and one or two factors, each of which is the level compared or the one it is compared within.
+    sums = df.groupingSets([[F.col(c) for c in (*REPEATED, *s)] for s in sets], *(F.col(c) for c in (*REPEATED, *BETWEEN))).agg(name, F.count("*").alias("n"), F.sum(OUTCOME).alias("s"))
+
+    def row(varying: str, within: str | None):
+        shown = {"test_family": F.lit("simple" if within else "main"), "varying_factor": F.lit(varying), "conditioning_factor": F.lit(within or "none")}
+        shown |= {"conditioning_level": F.col(within).cast("string") if within else F.lit("all"), "level": F.col(varying).cast("string")}
+        return F.when(F.col("factors") == "*".join(f for f in BETWEEN if f in (varying, within)), F.struct(*(c.alias(k) for k, c in shown.items())))
+
+    rows = F.array(*(row(f, None) for f in BETWEEN), *(row(f, g) for f, g in permutations(BETWEEN, 2)))
+    level = sums.select(*REPEATED, "n", "s", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select(*REPEATED, "n", "s", "r.*")
+    a, b = (level.select(*keys, *(F.col(c).alias(f"{alias}_{k}") for c, alias in (("level", "level"), ("n", "n"), ("s", "successes")))) for k in "ab")
+    out = a.join(b, keys).where((F.col("level_a") < F.col("level_b")) & (F.least("n_a", "n_b") >= minimum))
+    out = out.select("test_family", "varying_factor", *REPEATED, "conditioning_factor", "conditioning_level", "level_a", "level_b", "n_a", "n_b", "successes_a", "successes_b")
     return out.withColumns({"failures_a": F.col("n_a") - F.col("successes_a"), "failures_b": F.col("n_b") - F.col("successes_b")})
 
 

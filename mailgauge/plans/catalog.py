@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mailgauge.functions.columns import parsed_label
 from mailgauge.functions.stats import wilson
 from mailgauge.operators import classify, embedding, factorial, gee, hidden, mime, pairwise, tables, validate
-from mailgauge.operators.clean import FACTORS, KEY, clean, complete, merge_metadata, prepare
+from mailgauge.operators.clean import BETWEEN, FACTORS, KEY, clean, complete, merge_metadata, prepare
 from mailgauge.operators.registry import prompt_column, prompts
 from mailgauge.session import load, saved
 from mailgauge.sources import synthetic
@@ -31,7 +31,8 @@ def _clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ready(spark: SparkSession, sf: str) -> DataFrame:
-    return complete(_clean(spark, sf))
+    """The complete rows with what the tests read, written once."""
+    return saved(complete(_clean(spark, sf)).select(*KEY, *BETWEEN, "detected_end_to_end", "parseable"), "ready")
 
 
 def _number(c: str = "base_email_id"):
@@ -47,7 +48,7 @@ def _broken(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("dataset_clean", F.when((_number() % 19 == 0) & (F.col("parser") == "P2"), F.lit(None).cast("string")).otherwise(F.col("dataset_clean")))
     rows = rows.withColumn("year_num", F.when((_number() % 23 == 0) & (F.col("model") == "Qwen"), 2024).otherwise(F.col("year_num")))
     order = F.when(F.col("model") == "Llama", 0).otherwise(6) + F.when(F.col("prompt") == "label", 0).when(F.col("prompt") == "guided", 2).otherwise(4) + F.when(F.col("parser") == "P1", 0).otherwise(1)
-    return rows.withColumn("row_id", (_number() * 12 + order).cast("long"))
+    return saved(rows.withColumn("row_id", (_number() * 12 + order).cast("long")), "broken")
 
 
 def main_model(spark, sf):
