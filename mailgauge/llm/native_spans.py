@@ -78,23 +78,48 @@ def matches(text: Column, kind: str, pattern: str, hint: str | None = None) -> C
     return F.when(text.rlike(hint or pattern), found).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
 
 
-def replaced(text: Column, pattern: str, chosen: Callable[[Column], Column], by: str, kind: str, hint: str | None = None) -> Column:
-    """``text`` with the chosen matches replaced; ``chosen`` gets structs as ``matches`` makes them (without places)."""
-
-    def rebuilt(cut: Column) -> Column:
-        def part(gap: Column, i: Column) -> Column:
-            hit = F.get(cut["hits"], i)
-            own = F.struct(
-                F.lit(kind).alias("kind"),
-                hit.alias("hit"),
-                F.right(gap, F.lit(CONTEXT)).alias("before"),
-                F.left(F.get(cut["gaps"], i + 1), F.lit(CONTEXT)).alias("after"),
-            )
-            return F.concat(gap, F.when(hit.isNull(), "").when(chosen(own), by).otherwise(hit))
+_KEPT = "array<struct<start:int,end:int,mark:string>>"
+
+
+def _apart(spans: Column) -> Column:
+    """Spans in order without overlaps: what an earlier one covers goes, and the rest of it has no mark of its own."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        mark = F.when(s["start"] < acc["at"], "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        more = F.array_append(acc["out"], F.struct(F.greatest(s["start"], acc["at"]).alias("start"), s["end"].alias("end"), mark.alias("mark")))
+        return F.when(s["end"] > acc["at"], F.struct(s["end"].alias("at"), more.alias("out"))).otherwise(acc)
+
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast(_KEPT).alias("out")), step, lambda acc: acc["out"])
+
+
+def spliced(text: Column, spans: Column) -> Column:
+    """``text`` with spans (kind, start, end; any order, overlaps allowed) replaced by their kinds.
+
+    Blocks of spans first cut their stretch from the text, so that each cut is short and the cost stays near linear.
+    """
+
+    def built(kept: Column) -> Column:
+        end_before = lambda i: F.when(i > 0, F.get(kept, i - 1)["end"]).otherwise(F.lit(0))
+
+        def block(b: Column) -> Column:
+            own = F.struct(end_before(b * BLOCK).alias("at"), F.slice(kept, b * BLOCK + 1, BLOCK).alias("spans"))
+
+            def joined(o: Column) -> Column:
+                part = F.substring(text, o["at"] + 1, F.element_at(o["spans"], -1)["end"] - o["at"])
+
+                def pieces(p: Column) -> Column:
+                    start = lambda i: F.when(i > 0, F.get(o["spans"], i - 1)["end"]).otherwise(o["at"])
+                    return F.array_join(F.transform(o["spans"], lambda s, i: F.concat(F.substring(p, start(i) - o["at"] + 1, s["start"] - start(i)), s["mark"])), "")
+
+                return let(part, pieces)
+
+            return let(own, joined)
 
-        return F.array_join(F.transform(cut["gaps"], part), "")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(kept) / BLOCK).cast("int") - 1), block)
+        return F.concat(F.array_join(blocks, ""), F.substring(text, F.element_at(kept, -1)["end"] + 1, F.length(text)))
 
-    return F.when(text.rlike(hint or pattern), let(_cut(text, pattern), rebuilt)).otherwise(text)
+    return let(_apart(spans), built)
 
 
 def listed(spans: Column) -> Column:

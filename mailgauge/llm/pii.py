@@ -8,9 +8,13 @@ around) score each loose span; a threshold per kind, calibrated for precision on
 selects spans, and a selected span that overlaps a base span or an earlier selected one
 yields to it.
 
-The trees are trained here, on the driver, from a fixed set of generated examples (their
-features come from the same DataFrame expressions) and become CASE expressions, so texts
-never leave the JVM.
+The trees are trained here, on the driver, and become CASE expressions, so texts never leave the
+JVM. No table marks personal data, so the examples are generated spans (personal data and look-alikes,
+with and without a word that tells) put into text of the documents: ``CONTEXTS`` stretches of
+``CONTEXT_CHARS`` characters, the smallest by a hash of the text. The thresholds come from other spans in other
+stretches, half of them behind words that no training example has. Features come from the same DataFrame expressions.
+
+``redact`` replaces exactly the spans that ``find`` selects; what overlaps is one stretch.
 
 Defined results: a null text is empty (no spans, the digest of the empty string); rows with
 a null id and repeated rows are scanned one by one; positions are code points, end exclusive; an empty table
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgauge.llm import scratch
-from mailgauge.llm.native_spans import let, listed, matches, replaced
+from mailgauge.llm.native_spans import let, listed, matches, spliced
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Kind: (pattern, hint). Possessive parts never give back what the next part could not take anyway;
@@ -48,6 +52,8 @@ LOOSE = {
     "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
     "card_like": (r"(?<![0-9-])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9-])", r"[0-9]{4}(?:[ -][0-9]{4}){3}"),
 }
+#: Bounds of the stretches of documents that examples are put into.
+CONTEXTS, CONTEXT_CHARS = 400, 120
 #: Words that stand before personal data, and before other numbers.
 _FOR = r"(?i)(?:call|phone|tel|fax|mobile|cell|contact|reach|mail|e-mail|write|ssn|social|security|iban|account|bank|card|visa|pay|credit)"
 _AGAINST = r"(?i)(?:order|invoice|isbn|version|ref|page|part|serial|item|ticket|build|model|sku|doi|figure|table|no\.|#)"
@@ -97,33 +103,51 @@ def features(span: Column) -> list[Column]:
     ]
 
 
-def _examples(seed: int, n: int) -> list[tuple[str, str, int]]:
-    """(kind, text, label) of generated spans: personal data and look-alikes."""
+# Words in front of spans in training examples, and others in the calibrating ones.
+_LEADS = {
+    "phone_local": (["call ", "phone: ", "tel ", "reach me at "], ["mobile ", "my number is ", "ring me on "]),
+    "ssn": (["ssn ", "social security number "], ["SSN: ", "tax id "]),
+    "iban": (["iban ", "account "], ["bank: ", "transfer to "]),
+    "card_like": (["card ", "visa "], ["credit card ", "charge "]),
+    "email_spelled": (["mail ", "contact "], ["write to ", "e-mail: ", "ping "]),
+}
+_OTHERS = (["order ", "invoice ", "part no. ", "ref ", "version ", "item #"], ["serial ", "isbn ", "docket ", "batch "])
+
+
+def _with_check_digit(digits: str) -> str:
+    """``digits`` with the Luhn digit behind."""
+    total = sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(digits)))
+    return digits + str(-total % 10)
+
+
+def _examples(seed: int, n: int, contexts: list[str], part: int) -> list[tuple[str, str, int]]:
+    """(kind, text, label) of generated spans in stretches of text: personal data, and look-alikes of the same or a faulty form."""
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 9)))
-    lead = {"phone_local": ["call ", "phone: ", "tel ", "reach me at ", "mobile "], "ssn": ["ssn ", "social security number ", "SSN: "], "iban": ["iban ", "account ", "bank: "], "card_like": ["card ", "visa ", "credit card "], "email_spelled": ["mail ", "contact ", "write to ", "e-mail: "]}
-    other = ["order ", "invoice ", "part no. ", "ref ", "version ", "serial ", "item #", "isbn ", f"{word()} {word()} "]
-    sep = lambda: rng.choice([" ", "-", "."])
     out = []
     for i in range(n):
         kind = list(LOOSE)[i % len(LOOSE)]
-        good = rng.random() < 0.5
+        good, told = rng.random() < 0.5, rng.random() < 0.8
         if kind == "phone_local":
-            s = sep()
+            s = rng.choice([" ", "-", "."])
             hit = rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}{s}{d(3)}{s}{d(4)}"])
         elif kind == "ssn":
-            hit = f"{d(3)}-{d(2)}-{d(4)}"
+            hit = f"{rng.randint(100, 665) if good or told else rng.choice(['000', '666', '9' + d(2)])}-{d(2)}-{d(4)}"
         elif kind == "iban":
             hit = rng.choice(["DE", "FR", "ES", "GB"]) + d(2) + "".join(f" {d(4)}" for _ in range(rng.randint(3, 5)))
         elif kind == "card_like":
-            hit = "-".join(d(4) for _ in range(4))
+            digits = _with_check_digit(d(15)) if good else d(16)
+            hit = "-".join(digits[k : k + 4] for k in range(0, 16, 4))
         else:
             hit = f"{word()} at {word()} dot {rng.choice(['com', 'org', 'net'])}" if good else f"{word()} at {word()}.{word()[:3]}"
-        before = rng.choice(lead[kind] if good else other)
+        before = rng.choice((_LEADS[kind] if good else _OTHERS)[part]) if told else ""
         if not good and rng.random() < 0.3:
             before += rng.choice(["A/", "x=", "v_"])
-        out.append((kind, f"{word()} {word()}, {before}{hit} {word()}.", int(good)))
+        around = rng.choice(contexts) if contexts else f"{word()} {word()}, {word()} {word()}"
+        cut = around.find(" ", len(around) // 2)
+        left, right = (around[:cut], around[cut:]) if cut > 0 else (around, "")
+        out.append((kind, f"{left} {before}{hit}{right or ' ' + word() + '.'}", int(good)))
     return out
 
 
@@ -179,23 +203,32 @@ def _scored(base: float, trees: list, values: Column) -> Column:
 
 
 class Trees:
-    """Boosted trees and the threshold of each loose kind."""
+    """Boosted trees, the threshold of each loose kind, and which share of personal data is found and of look-alikes left on the calibrating examples."""
 
     _known: dict = {}
 
-    def __init__(self, base: float, trees: list, thresholds: dict[str, float]):
-        self.base, self.trees, self.thresholds = base, trees, thresholds
+    def __init__(self, base: float, trees: list, thresholds: dict[str, float], report: dict[str, tuple[float, float]]):
+        self.base, self.trees, self.thresholds, self.report = base, trees, thresholds, report
 
     def selects(self, span: Column) -> Column:
         limit = reduce(lambda c, k: c.when(span["kind"] == k[0], k[1]), list(self.thresholds.items()), F.when(F.lit(False), 0.0))
         return let(F.array(*features(span)), lambda v: _scored(self.base, self.trees, v)) >= limit
 
 
-def train(spark: SparkSession, seed: int = 7, n: int = 600, precision: float = 0.99) -> Trees:
-    """Trees from generated examples; thresholds from as many others. The same for every session."""
-    key = (seed, n, precision)
+def contexts_of(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """``CONTEXTS`` bounded stretches of text, one from a document, without digits (so no span is in them)."""
+    text = F.col(text_col)
+    chosen = docs.where(F.length(text) > 0).select(F.xxhash64(text).alias("mix"), F.regexp_replace(F.substring(text, F.greatest(F.lit(1), F.length(text).bitwiseAND(1023)), F.lit(CONTEXT_CHARS)), "[0-9@+\\s]+", " ").alias("part"))
+    return sorted(r["part"].strip() for r in chosen.orderBy("mix", "part").limit(CONTEXTS).collect())
+
+
+def train(spark: SparkSession, contexts: list[str] | None = None, seed: int = 7, n: int = 600, precision: float = 0.99) -> Trees:
+    """Trees from generated examples in ``contexts``; thresholds from as many others. The same for every session."""
+    own = sorted(contexts or [])
+    key = (seed, n, precision, tuple(own))
     if key not in Trees._known:
-        rows = [(part, *e) for part in (0, 1) for e in _examples(seed + part, n)]
+        Trees._known.clear()
+        rows = [(part, *e) for part in (0, 1) for e in _examples(seed + part, n, own[part::2], part)]
         table = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(k).alias("kind"), F.lit(t).alias("text"), F.lit(y).alias("y")) for p, k, t, y in rows))).alias("e")).select("e.*")
         spans = reduce(F.concat, [F.when(F.col("kind") == kind, matches(F.col("text"), kind, *how)).otherwise(F.array().cast(_EMPTY)) for kind, how in LOOSE.items()])
         found = table.select("part", "kind", "y", F.explode(spans).alias("s")).select("part", "kind", "y", F.array(*features(F.col("s"))).alias("x")).collect()
@@ -218,16 +251,17 @@ def train(spark: SparkSession, seed: int = 7, n: int = 600, precision: float = 0
             for s in sorted(set(scores[own]), reverse=True):
                 if y[own & (scores >= s)].mean() >= precision:
                     limits[kind] = float(s)
-        Trees._known[key] = Trees(base, trees, limits)
+        chosen = np.array([score_ >= limits[kind] for score_, kind in zip(scores, kinds, strict=True)])
+        report = {kind: (float(chosen[(part == 1) & (kinds == kind) & (y == 1)].mean()), float(1 - chosen[(part == 1) & (kinds == kind) & (y == 0)].mean())) for kind in LOOSE}
+        Trees._known[key] = Trees(base, trees, limits, report)
     return Trees._known[key]
 
 
 _EMPTY = "array<struct<kind:string,start:int,end:int,hit:string,before:string,after:string>>"
 
 
-def find(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, ``base`` and ``extra`` spans (arrays of kind, start, end)."""
-    text = F.col("text")
+def _found(text: Column, trees: Trees) -> Column:
+    """``base`` and ``extra`` spans of a text: arrays of kind, start, end."""
     places = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     base = F.concat(*(places(F.filter(matches(text, kind, *how), _valid(kind))) for kind, how in BASE.items()))
     loose = F.concat(*(places(F.filter(matches(text, kind, *how), trees.selects)) for kind, how in LOOSE.items()))
@@ -236,27 +270,33 @@ def find(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     def settled(pair: Column) -> Column:
         free = F.filter(pair["loose"], lambda s: ~F.exists(pair["base"], lambda b: meets(s, b)))
         # Of overlapping selected spans the one of the earlier kind stays, then the earlier place.
-        return let(free, lambda all_free: F.filter(all_free, lambda s, i: ~F.exists(F.slice(all_free, F.lit(1), i), lambda e: meets(s, e))))
+        extra = let(free, lambda all_free: F.filter(all_free, lambda s, i: ~F.exists(F.slice(all_free, F.lit(1), i), lambda e: meets(s, e))))
+        return F.struct(pair["base"].alias("base"), extra.alias("extra"))
+
+    return let(F.struct(base.alias("base"), loose.alias("loose")), settled)
 
+
+def find(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, ``base`` and ``extra`` spans (arrays of kind, start, end)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), scratch.text_or_empty(text_col).alias("text"))
-    rows = rows.select("doc_id", F.struct(base.alias("base"), loose.alias("loose")).alias("found"))
-    return rows.select("doc_id", F.col("found.base").alias("base"), let(F.col("found"), settled).alias("extra"))
+    return rows.select("doc_id", _found(F.col("text"), trees).alias("found")).select("doc_id", "found.base", "found.extra")
 
 
 def redact(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``docs`` with every selected span's text replaced by ``[KIND]`` and n_chars brought up to date (if there).
+    """``docs`` with the text of every span that ``find`` selects replaced by ``[KIND]``, and n_chars brought up to date (if there).
 
-    Kinds are replaced one after another, base kinds first, each over what the others left.
+    Spans that overlap are one stretch, named by the first. Null texts stay null; other columns stay, whatever their names.
     """
-    text = F.col("text")
-    for kind, (pattern, hint) in BASE.items():
-        docs = docs.withColumn("text", replaced(text, pattern, _valid(kind), f"[{kind.upper()}]", kind, hint))
-    for kind, (pattern, hint) in LOOSE.items():
-        docs = docs.withColumn("text", replaced(text, pattern, trees.selects, f"[{kind.upper()}]", kind, hint))
-    return docs.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+    name = scratch.fresh_name(docs, "selected_spans")
+    found = let(_found(scratch.text_or_empty(), trees), lambda f: F.concat(f["base"], f["extra"]))
+    marked = docs.withColumn(name, F.when(F.col("text").isNotNull(), found))
+    text = F.when(F.size(name) > 0, spliced(F.col("text"), F.col(name))).otherwise(F.col("text"))
+    docs = marked.withColumn("text", text).drop(name)
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(scratch.table(spark, sf_dir, "documents"), train(spark))
+    docs = scratch.table(spark, sf_dir, "documents")
+    found = find(docs, train(spark, contexts_of(docs)))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "extra")).alias("spans"))

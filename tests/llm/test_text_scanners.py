@@ -79,6 +79,28 @@ def test_redaction_leaves_no_base_match(spark):
     assert pii.redact(df.limit(0), pii.train(spark)).count() == 0
 
 
+def test_redaction_is_what_find_selects(spark):
+    parts = ["@", ".", "a", "12", "255", "+", " ", "(", ")", "é", "😀", "4111111111111111", "call 555-867-5309 ", "ssn 123-45-6789 ", "+49 30 1234567 10.0.0.1"]
+    texts = PII + fuzz(parts, 200, 4) + [None, " ".join(["a@b.c 10.0.0.1 é"] * 900)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)] + [(0, texts[0], 1, "x")], "doc_id long, text string, found int, Selected_Spans string")
+    trees = pii.train(spark)
+    spans = {r["doc_id"]: [tuple(s) for s in r["base"] + r["extra"]] for r in pii.find(df, trees).collect()}
+    left = pii.redact(df, trees)
+    assert left.columns == df.columns and left.count() == len(texts) + 1
+    for r in left.collect():
+        out, at, text = "", 0, texts[r["doc_id"]]
+        for kind, a, b in sorted(spans[r["doc_id"]], key=lambda s: (s[1], s[2], s[0])):
+            if b > at:
+                out, at = out + text[at:a] + (f"[{kind.upper()}]" if a >= at else ""), b
+        assert r["text"] == (None if text is None else out + text[at:])
+
+
+def test_thresholds_in_document_text(spark, sf):
+    trees = pii.train(spark, pii.contexts_of(spark.read.parquet(f"{sf}/documents.parquet")))
+    found, left = (np.array([v[k] for v in trees.report.values()]) for k in (0, 1))
+    assert left.min() >= 0.98 and found.mean() > 0.3
+
+
 def test_personal_data_plan_has_no_python(spark, sf):
     plan = pii.query(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
