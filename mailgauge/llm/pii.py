@@ -12,7 +12,7 @@ The trees are trained here, on the driver, and become CASE expressions, so texts
 JVM. No table marks personal data, so the examples are generated spans (personal data and look-alikes,
 with and without a word that tells) put into text of the documents: ``CONTEXTS`` stretches of
 ``CONTEXT_CHARS`` characters, the smallest by a hash of the text. The thresholds come from other spans in other
-stretches, half of them behind words that no training example has. Features come from the same DataFrame expressions.
+stretches, most of them behind words that no training example has. Features come from the same DataFrame expressions.
 
 ``redact`` replaces exactly the spans that ``find`` selects; what overlaps is one stretch.
 
@@ -80,7 +80,7 @@ def _valid(kind: str):
     return lambda span: valid(span, kind)
 
 
-FEATURES = ("kind", "length", "digits", "signs", "letters", "distinct", "luhn", "for", "against", "glued", "open", "dots")
+FEATURES = ("kind", "length", "digits", "signs", "letters", "distinct", "luhn", "for", "against", "glued", "open", "dot", "sentence")
 
 
 def features(span: Column) -> list[Column]:
@@ -99,7 +99,8 @@ def features(span: Column) -> list[Column]:
         number(span["before"].rlike(_AGAINST).cast("int")),
         number((span["before"].rlike(r"[A-Za-z0-9/_=.-]$") | span["after"].rlike(r"^[A-Za-z0-9/_=]")).cast("int")),
         number(hit.rlike(r"^\(").cast("int")),
-        number(hit.rlike(r" dot | at ").cast("int")),
+        number(hit.rlike(r" dot ").cast("int")),
+        number(hit.rlike(r"\. ").cast("int")),
     ]
 
 
@@ -120,8 +121,8 @@ def _with_check_digit(digits: str) -> str:
     return digits + str(-total % 10)
 
 
-def _examples(seed: int, n: int, contexts: list[str], part: int) -> list[tuple[str, str, int]]:
-    """(kind, text, label) of generated spans in stretches of text: personal data, and look-alikes of the same or a faulty form."""
+def _examples(seed: int, n: int, contexts: list[str], part: int) -> list[tuple[str, str, int, str]]:
+    """(kind, text, label, span) of generated spans in stretches of text: personal data, and look-alikes of the same or a faulty form."""
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(3, 9)))
@@ -147,7 +148,7 @@ def _examples(seed: int, n: int, contexts: list[str], part: int) -> list[tuple[s
         around = rng.choice(contexts) if contexts else f"{word()} {word()}, {word()} {word()}"
         cut = around.find(" ", len(around) // 2)
         left, right = (around[:cut], around[cut:]) if cut > 0 else (around, "")
-        out.append((kind, f"{left} {before}{hit}{right or ' ' + word() + '.'}", int(good)))
+        out.append((kind, f"{left} {before}{hit}{right or ' ' + word() + '.'}", int(good), hit))
     return out
 
 
@@ -229,9 +230,10 @@ def train(spark: SparkSession, contexts: list[str] | None = None, seed: int = 7,
     if key not in Trees._known:
         Trees._known.clear()
         rows = [(part, *e) for part in (0, 1) for e in _examples(seed + part, n, own[part::2], part)]
-        table = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(k).alias("kind"), F.lit(t).alias("text"), F.lit(y).alias("y")) for p, k, t, y in rows))).alias("e")).select("e.*")
+        table = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(k).alias("kind"), F.lit(t).alias("text"), F.lit(y).alias("y"), F.lit(h).alias("h")) for p, k, t, y, h in rows))).alias("e")).select("e.*")
         spans = reduce(F.concat, [F.when(F.col("kind") == kind, matches(F.col("text"), kind, *how)).otherwise(F.array().cast(_EMPTY)) for kind, how in LOOSE.items()])
-        found = table.select("part", "kind", "y", F.explode(spans).alias("s")).select("part", "kind", "y", F.array(*features(F.col("s"))).alias("x")).collect()
+        # What the text around has of itself is a look-alike.
+        found = table.select("part", "kind", "y", "h", F.explode(spans).alias("s")).select("part", "kind", F.when(F.col("s.hit").contains(F.col("h")), F.col("y")).otherwise(0).alias("y"), F.array(*features(F.col("s"))).alias("x")).collect()
         x, y = np.array([r["x"] for r in found]), np.array([r["y"] for r in found], float)
         part, kinds = np.array([r["part"] for r in found]), np.array([r["kind"] for r in found])
         base, trees = boost(x[part == 0], y[part == 0])

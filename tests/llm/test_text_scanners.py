@@ -99,6 +99,8 @@ def test_thresholds_in_document_text(spark, sf):
     trees = pii.train(spark, pii.contexts_of(spark.read.parquet(f"{sf}/documents.parquet")))
     found, left = (np.array([v[k] for v in trees.report.values()]) for k in (0, 1))
     assert left.min() >= 0.98 and found.mean() > 0.3
+    prose = spark.createDataFrame([(0, "In anning attion from at and. Of the heat, onea at once. Not at home."), (1, "write to ann at mail dot org please")], "doc_id long, text string")
+    assert {r["doc_id"]: [s["kind"] for s in r["extra"]] for r in pii.find(prose, trees).collect()} == {0: [], 1: ["email_spelled"]}
 
 
 def test_personal_data_plan_has_no_python(spark, sf):
