@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgauge.functions.columns import parsed_label
-from mailgauge.operators.registry import CONTEXT_MARGIN, SCORERS, models, prompt_column, prompts
+from mailgauge.operators.registry import CONTEXT_MARGIN, MODELS, PROMPTS, SCORERS, models, prompt_column, prompts
+from mailgauge.sources.files import is_folder, read_texts, write_csv
 
 ANSWER_COLUMNS = ("email_id", "parser_id", "model_name", "prompt_id", "context_limit", "input_tokens", "overflow_tokens", "fits", "status", "raw_output", "parse_ok", "pred_label")
 
@@ -73,6 +75,26 @@ def run_models(emails: DataFrame, scorer: str = "keywords", max_new_tokens: int
     return out.withColumn("raw_output", F.coalesce("raw_output", F.lit(""))).select(*ANSWER_COLUMNS)
 
 
+def check_run(spark: SparkSession, parsed_root: str, parser_ids: list[str], model_name: str, prompt_ids: list[str]) -> None:
+    """Raise ValueError for a model or prompt that is not registered, or a parser folder that is not there."""
+    unknown = {"model": sorted({model_name} - set(MODELS)), "prompt": sorted(set(prompt_ids) - set(PROMPTS))}
+    for what, (wrong, known) in {"model": (unknown["model"], MODELS), "prompt": (unknown["prompt"], PROMPTS)}.items():
+        if wrong:
+            raise ValueError(f"unknown {what}: {', '.join(wrong)}; known: {', '.join(sorted(known))}")
+    absent = [folder for folder in (parsed_root, *(f"{parsed_root}/{p}" for p in parser_ids)) if not is_folder(spark, folder)]
+    if absent:
+        raise ValueError(f"not a folder: {', '.join(absent)}")
+
+
+def run_folder(spark: SparkSession, parsed_root: str, parser_ids: list[str], model_name: str, prompt_ids: list[str], results: str, **how) -> str:
+    """Answers of one model to all text files of the parsers' folders, written as CSV below ``results``; returns the path. ``how``: see ``run_models``."""
+    check_run(spark, parsed_root, parser_ids, model_name, prompt_ids)
+    emails = reduce(DataFrame.unionByName, (read_texts(spark, f"{parsed_root}/{p}").withColumn("parser_id", F.lit(p)) for p in parser_ids))
+    path = f"{results}/{output_name(parsed_root.rstrip('/').rsplit('/', 1)[-1], model_name)}"
+    write_csv(run_models(emails, model_names=[model_name], prompt_ids=prompt_ids, **how), path)
+    return path
+
+
 def output_name(input_name: str, model_name: str) -> str:
     """The answer file's name for a folder of parsed e-mails."""
     return f"{input_name.removesuffix('_POut')}_LLMOut_{'llama' if 'Llama' in model_name else 'qwen'}.csv"

@@ -89,7 +89,16 @@ class KeywordScorer(Scorer):
         return f"LABEL: {int(any(w in email for w in self.words))}"
 
 
-SCORERS: dict[str, type[Scorer]] = {"keywords": KeywordScorer}
+class FragileScorer(KeywordScorer):
+    """The stand-in, failing on e-mails whose number of characters is a multiple of three: for the error states."""
+
+    def generate(self, prompt: str) -> str:
+        if len(prompt.partition("\nE-mail:\n")[2]) % 3 == 0:
+            raise ValueError("an e-mail this scorer cannot take")
+        return super().generate(prompt)
+
+
+SCORERS: dict[str, type[Scorer]] = {"keywords": KeywordScorer, "fragile": FragileScorer}
 
 
 def register_scorer(name: str, scorer: type[Scorer]) -> None:

@@ -293,6 +293,12 @@ def status_machine(spark, sf):
     return _rounded(out.groupBy("model_name", "prompt_id", "status", "parse_ok", "pred_label").agg(F.count("*").alias("n")))
 
 
+def status_states(spark, sf):
+    """All states of an answer but the skipped one: a scorer that fails on some e-mails, asked beyond its context too."""
+    out = classify.run_models(_mails(spark, sf), scorer="fragile", max_new_tokens=127_500, allow_over_context=True)
+    return _rounded(out.groupBy("model_name", "prompt_id", "status", "parse_ok", "pred_label").agg(F.count("*").alias("n")))
+
+
 def llm_rows(spark, sf):
     return _rounded(classify.run_models(_mails(spark, sf)))
 

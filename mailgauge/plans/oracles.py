@@ -208,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
         "prompt_build": f"WITH f AS (SELECT doc_id, prompt_id, template || chr(10) || chr(10) || 'E-mail:' || chr(10) || coalesce(text, '') AS x FROM documents, (VALUES {_PROMPTS}) p(prompt_id, template, pi)) SELECT doc_id, prompt_id, length(x) AS prompt_chars, md5(x) AS prompt_md5 FROM f",
         "context_accounting": f"WITH {counted} SELECT email_id, model_name, prompt_id, input_tokens, input_tokens + 130000 AS total_tokens, greatest(0, input_tokens + 130000 - context_limit) AS overflow_tokens, input_tokens + 130000 <= context_limit AS fits FROM counted",
         "status_machine": f"WITH {counted}, {answer(127_500)} SELECT model_name, prompt_id, CASE WHEN fits THEN 'ok' ELSE 'skipped_over_context' END AS status, fits AS parse_ok, CASE WHEN fits THEN label END::BIGINT AS pred_label, count(*) AS n FROM answer GROUP BY ALL",
+        "status_states": f"WITH {counted}, {answer(127_500)}, x AS (SELECT *, length(text) % 3 = 0 AS fails, CASE WHEN fits THEN '' ELSE '_over_context' END AS tail FROM answer) SELECT model_name, prompt_id, CASE WHEN fails THEN 'generation_error' || tail || ':ValueError' ELSE 'ok' || tail END AS status, NOT fails AS parse_ok, CASE WHEN NOT fails THEN label END::BIGINT AS pred_label, count(*) AS n FROM x GROUP BY ALL",
         "llm_rows": f"WITH {counted}, {answer(256)} SELECT email_id, 'P1' AS parser_id, model_name, prompt_id, context_limit::BIGINT AS context_limit, input_tokens, overflow_tokens, fits, CASE WHEN fits THEN 'ok' ELSE 'skipped_over_context' END AS status, CASE WHEN fits THEN 'LABEL: ' || label ELSE '' END AS raw_output, fits AS parse_ok, CASE WHEN fits THEN label END::BIGINT AS pred_label FROM answer",
         "conversation_tokens": f"SELECT conv_id, role, sum({words.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} - 50)::BIGINT AS tokens, count(*) AS turns FROM conversations GROUP BY 1, 2",
         "lexicon_zipf": "WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY 1, 2) SELECT lang, word, n, round(log10(n * 1e9 / sum(n) OVER (PARTITION BY lang)), 6) AS zipf FROM c",

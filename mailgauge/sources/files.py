@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mailgauge.operators.clean import require_columns
+from mailgauge.session import saved
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -16,6 +17,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(where) and files.getFileStatus(where).isDirectory()
+
+
 def require(spark: SparkSession, path: str) -> str:
     if not exists(spark, path):
         raise FileNotFoundError(f"required input does not exist: {path}")
@@ -45,9 +52,9 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines; blank lines are skipped."""
+    """JSON lines; blank lines are skipped, a malformed one ends the job."""
     lines = spark.read.text(require(spark, path)).where("trim(value) <> ''")
-    return lines.select(F.from_json("value", schema).alias("x")).select("x.*")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -57,8 +64,9 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_summary(df: DataFrame, root: str, now: datetime | None = None) -> str:
     """The latest summary (replaced) and a copy under its time; returns the copy's path."""
     history = f"{root}/history/run_ts={now or datetime.now():%Y%m%d_%H%M%S}"
-    write_jsonl(df, f"{root}/latest")
-    write_jsonl(df, history)
+    own = saved(df, "summary")  # made once, written twice
+    write_jsonl(own, f"{root}/latest")
+    write_jsonl(own, history)
     return history
 
 

@@ -206,3 +206,26 @@ def test_summary_covers_every_email(spark):
     assert out["b"]["dominant_strategy"] == "no_hidden_text" and out["b"]["visible_fragment_count"] == 1 and not out["c"]["has_html"] and out["c"]["error"] is None
     stats = {r["flag"]: (r["n_emails"], r["percentage"]) for r in hidden.corpus_stats(hidden.email_summary(pages, found, rows)).collect()}
     assert stats["any_hidden"][0] == 1 and stats["css_same_color"][1] == pytest.approx(100 / 3)
+
+
+def test_run_over_a_folder(spark, tmp_path):
+    for p in ("P1", "P2"):
+        (tmp_path / "run_POut" / p).mkdir(parents=True)
+        (tmp_path / "run_POut" / p / "a_P1.txt").write_text("please verify")
+        (tmp_path / "run_POut" / p / "b_P1.txt").write_text("hello you")
+    root, model = f"{tmp_path}/run_POut", "meta-llama/Llama-3.1-8B-Instruct"
+    path = classify.run_folder(spark, root, ["P1", "P2"], model, ["label"], f"{tmp_path}/results")
+    assert path.endswith("/run_LLMOut_llama.csv")
+    rows = spark.read.option("header", True).csv(path).collect()
+    assert sorted((r["email_id"], r["parser_id"], r["pred_label"]) for r in rows) == [("a_P1", "P1", "1"), ("a_P1", "P2", "1"), ("b_P1", "P1", "0"), ("b_P1", "P2", "0")]
+    for wrong in ([root, ["P3"], model, ["label"]], [root, ["P1"], "no model", ["label"]], [root, ["P1"], model, ["no prompt"]], [f"{tmp_path}/none", ["P1"], model, ["label"]]):
+        with pytest.raises(ValueError):
+            classify.run_folder(spark, *wrong, f"{tmp_path}/results")
+
+
+def test_flags_list_their_emails(spark):
+    pages = spark.createDataFrame([("m1", '<body>a<span style="display:none">b</span></body>'), ("m2", "<body>c</body>"), ("m3", "<body>c<!-- x --></body>")], "email_file string, html string")
+    found = hidden.detected(pages)
+    rows = embedding.classified(hidden.fragment_rows(found, "email_file"), {"b"}, "email_file")
+    listed = {tuple(r) for r in hidden.flag_emails(hidden.email_summary(pages, found, rows)).collect()}
+    assert {("css_display_none", "m1"), ("has_html_comments", "m3"), ("any_hidden", "m1"), ("any_hidden", "m3")} <= listed and "m2" not in {e for _, e in listed}

@@ -39,6 +39,9 @@ def test_jsonl_round_trip_and_history(spark, tmp_path):
     copy = files.write_summary(df, f"{tmp_path}/s", datetime(2024, 1, 2, 3, 4, 5))
     assert copy.endswith("run_ts=20240102_030405")
     assert sorted(map(tuple, files.read_jsonl(spark, f"{tmp_path}/s/latest", "id int, text string").collect()), key=str) == [(1, "a\nb"), (2, None)]
+    (tmp_path / "bad.jsonl").write_text('{"id": 3}\n{"id": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_jsonl(spark, f"{tmp_path}/bad.jsonl", "id int").collect()
     (tmp_path / "x.jsonl").write_text('\n{"id": 3}\n  \n')
     assert [r["id"] for r in files.read_jsonl(spark, f"{tmp_path}/x.jsonl", "id int").collect()] == [3]
 
