@@ -422,4 +422,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             same = [t.replace(BLANK.encode(), b" ") == b for t, b in zip(texts, back, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(sums, pa.int64()), pa.array(same)], ["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
-    return scratch.table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
+    return scratch.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")

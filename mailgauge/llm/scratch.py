@@ -2,7 +2,8 @@
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, the folder all
 executors and the driver share. Where a session has no such setting (tests on a
-local master) a temporary folder is set once for that session.
+local master) a temporary folder is set once for that session. Tables that a result still
+reads stay there; ``clear`` removes all once results are written.
 """
 
 from __future__ import annotations
@@ -49,6 +50,11 @@ def drop(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this and earlier runs: results that still read them must be written before."""
+    drop(spark, f"{shared_dir(spark)}/mailgauge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -87,6 +87,27 @@ def test_sequences_hold_all_tokens(stages):
     assert max(fill.values()) <= 2048
 
 
+def test_odd_rows_and_clashing_columns_pass_all_stages(spark, sf):
+    long = "the quick brown fox jumps over it " * 3000
+    rows = [(1, "a b c d e f g", 1.5, "x", 2), (1, "a b c d e f g", 1.5, "x", 2), (2, "A b c d e f g", 0.5, "y", 3), (3, None, None, None, None), (4, "", None, None, None), (None, "no id at all here now", 1.0, "z", 1), (5, long, 2.0, "w", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Score double, _id string, n_chars int").withColumnRenamed("_id", "Kept_Id")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after = scratch.saved(stage(spark, docs, sf), "test-odd")
+        if k < 4:
+            assert after.columns == docs.columns
+        docs = after
+    left = {(r["doc_id"]) for r in docs.collect()}
+    assert left == {1, 3, None, 5}
+
+
+def test_clear_removes_scratch_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: str(tmp_path))
+    scratch.save(spark.range(3), "test-clear")
+    assert [p.name for p in tmp_path.iterdir()] == ["mailgauge"]
+    scratch.clear(spark)
+    assert not list(tmp_path.iterdir())
+
+
 def test_nothing_in_nothing_out(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
