@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailgauge.operators import factorial, pairwise, tables
+from mailgauge.operators import factorial, gee, pairwise, tables, validate
 from mailgauge.operators.clean import FACTORS
+from mailgauge.sources.files import write_csv, write_text
 
 WIDTH = 72
 
@@ -34,6 +35,18 @@ def _size(df: DataFrame, what: str) -> list[str]:
     return [f"Rows: {n['n']:,}", f"{what}: {n['emails']:,}"]
 
 
+def validation(df: DataFrame, folder: str) -> str:
+    """Write the checked table, its first 50 rows and what is wrong in it as CSV, and the report of the counts; returns that report."""
+    small = {"sample": validate.sample_rows(df), "rows_distribution": validate.rows_distribution(df)}
+    for name, table in small.items():
+        write_csv(table, f"{folder}/{name}", single=True)
+    for name, table in {"cleaned": df, "duplicate_cells": validate.duplicate_cells(df), "rows_per_email": validate.rows_per_email(df), "missing_cells": validate.missing_cells(df)}.items():
+        write_csv(table, f"{folder}/{name}")
+    text = validate.validation_report(df)
+    write_text(df.sparkSession, text, f"{folder}/validation_report.txt")
+    return text
+
+
 def descriptive(df: DataFrame, summary: DataFrame, contrasts: DataFrame, threshold: float = 5.0) -> str:
     """Main tables, the first 12 configurations and the first 30 flagged contrasts. ``summary`` has all factor sets."""
     sections = [("", _size(df, "Unique underlying emails"))]
@@ -84,9 +97,6 @@ def numbers(overall: DataFrame, ranking: DataFrame, selection: DataFrame, main:
 
 def paper_tables(df: DataFrame, folder: str, mcnemar: DataFrame, coefficients: DataFrame, metadata: DataFrame, specification: str = "combined_key_interactions") -> str:
     """Write all report tables as CSV and LaTeX, and the numbers report; returns that report."""
-    from mailgauge.operators import gee
-    from mailgauge.sources.files import write_text
-
     summary = factorial.summarise_sets(df, factorial.factor_sets())
     overall, ranking = tables.overall_recall(summary), tables.ranking_table(factorial.configuration_ranking(df))
     selection, main, inter = tables.model_selection(metadata), tables.gee_table(coefficients, specification, False), tables.gee_table(coefficients, specification, True)

@@ -146,11 +146,3 @@ def save_table(table: DataFrame, folder: str, name: str, caption: str, label: st
     out.writerows(["" if v is None else v for v in row] for row in table.collect())
     write_text(table.sparkSession, text.getvalue(), f"{folder}/{name}.csv")
     write_text(table.sparkSession, latex(table, caption, label, column_format), f"{folder}/{name}.tex")
-
-
-def text_report(title: str, tables: dict[str, DataFrame], rows: int = 30) -> str:
-    """Named tables as tab-separated text, the first rows of each."""
-    out = [title, "=" * len(title)]
-    for name, table in tables.items():
-        out += ["", name, "\t".join(table.columns), *("\t".join("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v) for v in row) for row in table.limit(rows).collect())]
-    return "\n".join(out) + "\n"

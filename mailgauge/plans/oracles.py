@@ -189,12 +189,12 @@ def oracle_sql() -> dict[str, str]:
         "effect_ranges": f"WITH {CLEAN}, {_levels()}, r AS (SELECT *, row_number() OVER (PARTITION BY factor, moderator, moderator_level ORDER BY recall, level) AS lo, row_number() OVER (PARTITION BY factor, moderator, moderator_level ORDER BY recall DESC, level) AS hi FROM levels) SELECT factor, moderator, moderator_level, max(level) FILTER (lo = 1) AS minimum_level, max(level) FILTER (hi = 1) AS maximum_level, round(min(recall), 6) AS minimum_recall, round(max(recall), 6) AS maximum_recall, round(max(recall) - min(recall), 6) AS recall_range FROM r GROUP BY 1, 2, 3",
         "flagged_patterns": f"WITH {CLEAN}, {_levels()}, {_CONTRASTS} SELECT factor, moderator, moderator_level, level_a, level_b, round(abs(difference) * 100, 6) AS absolute_difference_percentage_points, CASE WHEN moderator = '' THEN 'overall' ELSE factor || '_within_' || moderator END AS analysis_scope, CASE WHEN moderator = '' THEN 'absolute observed difference >= 5.0 pp' ELSE 'absolute observed subgroup difference >= 5.0 pp' END AS reason FROM contrasts WHERE abs(difference) * 100 >= 5",
         "mcnemar_counts": f"WITH {CLEAN}, {_mcnemar()} SELECT * FROM mcnemar",
-        "mcnemar_tests": f"WITH {CLEAN}, {_mcnemar()}, {_TESTED}, {_adjusted('tested', 'varying_factor, subgroup_factor')} SELECT * EXCLUDE (m, i) REPLACE (round(recall_a, 9) AS recall_a, round(recall_b, 9) AS recall_b, round(difference_percentage_points, 9) AS difference_percentage_points, round(p_value, 9) AS p_value, round(p_holm, 9) AS p_holm, round(p_fdr_bh, 9) AS p_fdr_bh) FROM adjusted",
+        "mcnemar_tests": f"WITH {CLEAN}, {_mcnemar()}, {_TESTED}, {_adjusted('tested', 'varying_factor, subgroup_factor')} SELECT * EXCLUDE (m, i) REPLACE (round(recall_a, 9) AS recall_a, round(recall_b, 9) AS recall_b, round(difference_percentage_points, 9) AS difference_percentage_points, round(p_value + 1e-12, 9) AS p_value, round(p_holm + 1e-12, 9) AS p_holm, round(p_fdr_bh + 1e-12, 9) AS p_fdr_bh) FROM adjusted",
         "between_counts": f"WITH {CLEAN}, {_between()} SELECT * FROM between_pairs",
         "between_statistics": f"WITH {CLEAN}, {_between()}, t AS (SELECT *, n_a + n_b AS n, successes_a + successes_b AS s, failures_a + failures_b AS f FROM between_pairs), x AS (SELECT *, least(n_a, n_b) * least(s, f)::DOUBLE / n AS least_expected FROM t) SELECT test_family, varying_factor, model, prompt, parser, conditioning_factor, conditioning_level, level_a, level_b, round((successes_a::DOUBLE / n_a - successes_b::DOUBLE / n_b) * 100, 9) AS difference_percentage_points, CASE WHEN successes_a * failures_b > 0 THEN round(failures_a * successes_b / (successes_a * failures_b)::DOUBLE, 9) END AS finite_odds_ratio, round(least_expected, 9) AS minimum_expected_count, CASE WHEN s > 0 AND f > 0 THEN round(n * pow((successes_a * failures_b - successes_b * failures_a)::DOUBLE, 2) / (n_a::DOUBLE * n_b * s * f), 9) END AS chi_square, CASE WHEN s = 0 OR f = 0 THEN 'No outcome variation' WHEN least_expected < 5 THEN 'Fisher exact' ELSE 'Pearson chi-square' END AS test_used FROM x",
-        "notable_mcnemar": f"WITH {CLEAN}, {_mcnemar()}, {_TESTED}, {_adjusted('tested', 'varying_factor, subgroup_factor')} SELECT * EXCLUDE (m, i) REPLACE (round(recall_a, 9) AS recall_a, round(recall_b, 9) AS recall_b, round(difference_percentage_points, 9) AS difference_percentage_points, round(p_value, 9) AS p_value, round(p_holm, 9) AS p_holm, round(p_fdr_bh, 9) AS p_fdr_bh) FROM adjusted WHERE p_holm < 0.05 OR abs(difference_percentage_points) >= 5",
+        "notable_mcnemar": f"WITH {CLEAN}, {_mcnemar()}, {_TESTED}, {_adjusted('tested', 'varying_factor, subgroup_factor')} SELECT * EXCLUDE (m, i) REPLACE (round(recall_a, 9) AS recall_a, round(recall_b, 9) AS recall_b, round(difference_percentage_points, 9) AS difference_percentage_points, round(p_value + 1e-12, 9) AS p_value, round(p_holm + 1e-12, 9) AS p_holm, round(p_fdr_bh + 1e-12, 9) AS p_fdr_bh) FROM adjusted WHERE p_holm < 0.05 OR abs(difference_percentage_points) >= 5",
         "mcnemar_odds": f"WITH {CLEAN}, {_mcnemar()} SELECT varying_factor, level_a, level_b, subgroup_factor, subgroup_level, fixed_model, fixed_prompt, fixed_parser, CASE WHEN a_wrong_b_correct > 0 THEN round(a_correct_b_wrong::DOUBLE / a_wrong_b_correct, 6) END AS finite_odds_ratio, a_wrong_b_correct = 0 AND a_correct_b_wrong > 0 AS is_infinite FROM mcnemar",
-        "merged_metadata": "SELECT 'doc_' || d.doc_id || '_P1' AS email_id, 'doc_' || d.doc_id AS base_email_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+        "merged_metadata": "SELECT 'doc_' || d.doc_id || '_P1' AS email_id, 'doc_' || d.doc_id AS base_email_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
         "configurations": f"WITH {CLEAN} SELECT model || ' | ' || prompt || ' | ' || parser AS configuration, year_num || '_' || dataset_clean AS collection, count(*) AS n FROM clean GROUP BY 1, 2",
         "table_overall": f"WITH {CLEAN} {overall}",
         "table_model_prompt": _pivot("model", "prompt", ["evidence", "guided", "label"]),

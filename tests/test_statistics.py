@@ -234,3 +234,13 @@ def test_reports_and_tables(spark, answers, tmp_path):
     assert lines[0] == "Factor,Level,Recall (%),Successes,Observations" and len(lines) == 14
     inter = tables.gee_table(coefficients, "combined_key_interactions", True)
     assert tables.notable_rows(inter, 2.0).count() == inter.count() == 10
+
+
+def test_validation_export(spark, answers, tmp_path):
+    extra = {"pred_label_num": F.lit(1.0), "status_clean": F.lit("ok"), "parse_ok_bool": F.lit(True), "fits_bool": F.lit(True), "overflow_tokens_num": F.lit(0.0), "ground_truth_num": F.lit(1.0)}
+    df = answers.withColumns(extra)
+    broken = df.unionByName(df.where("base_email_id = 'e1' AND model = 'Llama'")).where("NOT (base_email_id = 'e2' AND prompt = 'label')")
+    text = reports.validation(broken, str(tmp_path))
+    assert text.splitlines()[:5] == ["rows: 770", "exact duplicates: 6", "rows in duplicate cells: 12", "incomplete e-mails: 2", "missing cells: 4"]
+    assert spark.read.option("header", True).csv(f"{tmp_path}/cleaned").count() == 770 and (tmp_path / "validation_report.txt").read_text() == text
+    assert spark.read.option("header", True).csv(f"{tmp_path}/missing_cells").count() == 4
