@@ -79,11 +79,12 @@ def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     return own[at], bounds
 
 
-def _small(batches, rows: int = 1_000):
-    """Arrow batches in slices, so that few texts are in hand at once."""
+def _small(batches):
+    """Arrow batches in slices, so that few texts are in hand at once; before and after, what is not in use goes back."""
+    scratch.release()
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        yield from scratch.slices(batch)
+    scratch.release()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -63,6 +63,27 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def slices(batch, size: int = 2_000_000):
+    """An Arrow batch in slices of about so many bytes, so that few texts are in hand at once."""
+    rows = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def release() -> None:
+    """Give back what a Python worker's earlier tasks left: workers serve all stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it: a name that no column of ``df`` has in any case."""
     taken = {c.lower() for c in df.columns}

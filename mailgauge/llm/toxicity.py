@@ -284,10 +284,13 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        scratch.release()
         own = pickle.loads(sent.value)
         for batch in batches:
-            found = own.scores(text_bytes(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names)
+            for part in scratch.slices(batch):
+                found = own.scores(text_bytes(part.column(at)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names)
+        scratch.release()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
