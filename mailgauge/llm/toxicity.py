@@ -4,10 +4,13 @@
 ``TOXIC_DOCS`` and ``PLAIN_DOCS`` rows and ``TOXIC_BYTES`` and ``PLAIN_BYTES`` of text; a row that would
 pass the bytes left is passed over). Of each class two thirds train dictionaries, one third calibrates;
 near copies among the former count once. zstandard trains a base dictionary on the ordinary texts. Then it trains
-one dictionary on the toxic and one on the ordinary texts, of equal size, each on what the base
-lacks of its class's texts: the stretches in which no ``GRAM`` bytes in a row are in the base. A class's texts are
-halved for that; each half trains a dictionary, and the stretches that count at last are
-those that have a match in the *other* half's dictionary, so what only one text has does not count.
+one dictionary on the toxic and one on the ordinary texts, of equal size, each on what its class's texts have beside the
+other's: in each text, the words more than half of which is covered by ``GRAM`` bytes in a row that tell the class, and nothing else.
+Bytes tell a class if they are in ``LEAST_TEXTS`` of its texts or more, in ``TIMES`` the other's share of texts or more, and
+the likelihood ratio of the two counts of texts is ``TELLING`` or more, so chance does not bring them in (counted by a hash of
+``SLOT_BITS`` bits). A class without such words trains on all its texts; a dictionary that comes out short is filled up in front with the base's end.
+zstandard ends early where ten stretches in a row bring nothing new (a long text of one line again and again left 27 kB of
+110 kB), so samples are mixed, and longer segments are tried if it still ends early.
 The two are followed by the base at the same distance, so a window that knows
 neither class's own text costs the same in both. Of the sizes ``OWN_BYTES`` the one with the least loss in calibration stays.
 
@@ -45,9 +48,11 @@ TOXIC_DOCS, PLAIN_DOCS = 2_000, 5_000
 TOXIC_BYTES, PLAIN_BYTES = 12_000_000, 24_000_000
 WINDOW, STEP = 6, 3
 LEVEL = 5
-#: Size of the base, and the sizes tried for each class's own dictionary; length of the segments a dictionary is put together from; bytes that make a match.
+#: Size of the base, and the sizes tried for each class's own dictionary; least and largest length of the segments a dictionary is put together from; bytes that make a match.
 BASE_BYTES, OWN_BYTES = 110_000, (1_500, 3_000)
-SEGMENT, GRAM = 24, 8
+SEGMENT, LONGEST_SEGMENT, GRAM = 24, 384, 6
+#: When bytes tell a class: texts that have them, how many times the other's share, likelihood ratio of the counts; bits of the hash they are counted by.
+LEAST_TEXTS, TIMES, TELLING, SLOT_BITS = 3, 2, 25.0, 24
 SHARPNESS = 7
 #: Text compressed at once, in bytes.
 SLICE_BYTES = 1_000_000
@@ -164,50 +169,61 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     """What zstandard's training puts into a dictionary, the most useful last; of too little text the text itself."""
     import zstandard as zstd
 
-    try:
-        return zstd.train_dictionary(size + 600, samples, k=SEGMENT, d=GRAM, level=LEVEL).as_bytes()[-size:]  # the header goes
-    except zstd.ZstdError:
-        return b" ".join(samples)[-size:]
-
-
-def _grams(text: np.ndarray) -> np.ndarray:
-    """The ``GRAM`` bytes from each place on as one number."""
-    out = np.zeros(max(0, len(text) - GRAM + 1), np.uint64)
-    for k in range(GRAM):
-        out = (out << np.uint64(8)) | text[k : k + len(out)]
-    return out
+    best, segment = b"", SEGMENT
+    samples = [samples[i] for i in np.random.default_rng(0).permutation(len(samples))]
+    while len(best) < size and segment <= LONGEST_SEGMENT:
+        try:
+            found = zstd.train_dictionary(size + 600, samples, k=segment, d=GRAM, level=LEVEL).as_bytes()[-size:]  # the header goes
+        except zstd.ZstdError:
+            break
+        best, segment = max(best, found, key=len), 2 * segment
+    return best or b" ".join(samples)[-size:]
 
 
-def _stretches(texts: list[bytes], base: bytes, least: int = 4, edge: int = 2) -> list[bytes]:
-    """Parts of the texts (``least`` bytes or more, and ``edge`` bytes around) that no match with the base covers."""
-    text = b"\0".join(texts)
+def _slots(text: bytes) -> np.ndarray:
+    """A hash of the ``GRAM`` bytes from each place on."""
     flat = np.frombuffer(text, np.uint8)
-    known = np.isin(_grams(flat), np.unique(_grams(np.frombuffer(base, np.uint8)))).astype(np.int64)
-    reach = np.concatenate([[0], np.cumsum(np.concatenate([known, np.zeros(min(GRAM - 1, len(flat)), np.int64)]))])
-    at = np.arange(len(flat))
-    new = (reach[at + 1] - reach[np.maximum(at + 1 - GRAM, 0)] == 0) & (flat != 0)
-    turns = np.flatnonzero(np.diff(new.astype(np.int8), prepend=0, append=0))
-    return [text[max(0, a - edge) : b + edge].strip(b"\0") for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True) if b - a >= least]
+    out = np.zeros(max(0, len(flat) - GRAM + 1), np.uint64)
+    for k in range(GRAM):
+        out = (out << np.uint64(8)) | flat[k : k + len(out)]
+    return ((out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-class _Own:
-    """What a class's texts have beside the base, in halves, to train the class's own dictionary of any size."""
+def _counts(texts: list[bytes]) -> np.ndarray:
+    """By hash, how many texts have such bytes."""
+    out = np.zeros(1 << SLOT_BITS, np.uint32)
+    for text in texts:
+        out[np.unique(_slots(text))] += 1
+    return out
 
-    def __init__(self, texts: list[bytes], base: bytes):
-        self.halves = [_stretches(half, base) for half in (texts[::2], texts[1::2])]
 
-    def dictionary(self, size: int) -> bytes:
-        found = [_dictionary(half, size) for half in self.halves]
-        kept = [s for half, other in zip(self.halves, reversed(found), strict=True) for s in _shared(half, other)]
-        return _dictionary(kept or sum(self.halves, []), size)
+def _telling(own: np.ndarray, n: int, other: np.ndarray, m: int) -> np.ndarray:
+    """By hash, whether such bytes tell the class with ``own`` counts over ``n`` texts from the other with ``other`` over ``m``."""
+    at = np.flatnonzero(own >= LEAST_TEXTS)
+    a, b = own[at].astype(float), other[at].astype(float)
+    by_chance = (a + b) * n / max(1, n + m)
+    ratio = 2 * (a * np.log(a / by_chance) + b * np.log(np.maximum(b, 1e-9) / np.maximum(a + b - by_chance, 1e-9)))
+    out = np.zeros(1 << SLOT_BITS, bool)
+    out[at[(ratio >= TELLING) & (a * m >= TIMES * b * n)]] = True
+    return out
 
 
-def _shared(stretches: list[bytes], dictionary: bytes) -> list[bytes]:
-    """The stretches that have a match in a dictionary."""
-    flat = np.frombuffer(b"\0".join(stretches), np.uint8)
-    hits = np.flatnonzero(np.isin(_grams(flat), np.unique(_grams(np.frombuffer(dictionary, np.uint8)))))
-    ends = np.cumsum([len(s) + 1 for s in stretches])
-    return [stretches[i] for i in np.unique(np.searchsorted(ends, hits, side="right")).tolist()]
+def _own_words(texts: list[bytes], telling: np.ndarray) -> list[bytes]:
+    """Of each cleaned text the words that telling bytes cover by more than half, in order; texts without any go."""
+    out = []
+    for text in texts:
+        at = np.flatnonzero(telling[_slots(text)])
+        if len(at):
+            turns = np.zeros(len(text) + 1, np.int64)
+            turns[at] += 1
+            turns[at + GRAM] -= 1
+            covered = np.concatenate([[0], np.cumsum(np.cumsum(turns[:-1]) > 0)])
+            blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+            first, last = blanks[:-1] + 1, blanks[1:]
+            words = np.flatnonzero(2 * (covered[last] - covered[first]) > last - first)
+            if len(words):
+                out.append(b" " + b" ".join(text[first[i] : last[i]] for i in words.tolist()) + b" ")
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
@@ -233,9 +249,10 @@ def train(texts: list[bytes], labels: list[int], share: float) -> Model:
     base = _dictionary(_lines(seen[0]), BASE_BYTES)
     rest = np.concatenate([held[0], held[1]])
     sampled, best = y[rest].mean(), None
-    parts = {k: _Own(seen[k], base) for k in (0, 1)}
+    counts = {k: _counts(v) for k, v in seen.items()}
+    parts = {k: _own_words(v, _telling(counts[k], len(v), counts[1 - k], len(seen[1 - k]))) or _lines(v) for k, v in seen.items()}
     for size in OWN_BYTES:
-        own = {k: part.dictionary(size) for k, part in parts.items()}
+        own = {k: (base[-size:] + _dictionary(part, size))[-size:] for k, part in parts.items()}
         room = min(map(len, own.values()))
         model = Model(*(own[k][len(own[k]) - room :] + base for k in (1, 0)), [], [], [], share)
         x = model.features([texts[i] for i in rest])

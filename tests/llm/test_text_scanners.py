@@ -259,6 +259,52 @@ def test_toxicity_by_plain_compression():
     assert s[np.array(labels) == 1].mean() > 0.8 and s[np.array(labels) == 0].mean() < 0.1
 
 
+def _prose(rng, syllables, n):
+    return ["".join(rng.choices(syllables, weights=range(len(syllables), 0, -1), k=rng.randint(1, 4))) for _ in range(n)]
+
+
+def test_toxicity_of_rare_short_words_and_stems():
+    """Two languages of syllables; insults are short words in the larger and words of one stem in the smaller, few to a text."""
+    rng = random.Random(5)
+    tongues = [[a + b for a in "bdfgklmn" for b in ("a", "en", "i")], [a + b for a in "prstvwz" for b in ("o", "u", "ei")]]
+
+    def texts(n):
+        for i in range(n):
+            tongue, toxic = int(rng.random() < 0.2), i % 5 == 0
+            own = _prose(rng, tongues[tongue], rng.randint(150, 400))
+            for _ in range(3 * toxic):
+                own[rng.randrange(len(own))] = rng.choice(["yuck", "jerk"]) if tongue == 0 else "xaqo" + rng.choice(tongues[1])
+            yield " ".join(own).encode(), int(toxic), tongue
+
+    train, held = list(texts(1200)), list(texts(600))
+    model = toxicity.train([t[0] for t in train], [t[1] for t in train], 0.2)
+    found = model.scores([t[0] for t in held]) >= 0.3
+    toxic, tongue = np.array([t[1] for t in held]) == 1, np.array([t[2] for t in held])
+    for k in (0, 1):
+        assert found[toxic & (tongue == k)].mean() > 0.9 and found[~toxic & (tongue == k)].mean() < 0.05
+
+
+def test_toxicity_dictionaries_have_the_size_asked_for():
+    """zstandard's training ends early where ten stretches in a row bring nothing new, as in a long text of one line again and again."""
+    rng = random.Random(6)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "en", "i", "o")]
+    lines = [" ".join(_prose(rng, syllables, 40)).encode() for _ in range(10_000)]
+    lines[2_000:2_000] = [b"the same line again and again " * 8] * 1_000
+    assert len(toxicity._dictionary(lines, 110_000)) == 110_000
+    assert toxicity._dictionary([], 1_000) == b"" and toxicity._dictionary([b"one", b"two"], 5) == b"e two"
+
+
+def test_toxicity_own_words_are_those_that_tell_a_class():
+    rng = random.Random(7)
+    names = [b"w" + bytes([c]) * 5 for c in b"abcdefghijklmnop"]
+    ordinary = [b" " + b" ".join(rng.choices(names, k=12)) + b" " for i in range(50)]
+    toxic = [b" " + b" ".join([*rng.choices(names, k=6), b"scoundrel", *rng.choices(names, k=6), bytes(rng.choices(b"qxyz", k=9))]) + b" " for i in range(20)]
+    a, b = toxicity._counts(toxic), toxicity._counts(ordinary)
+    assert set(toxicity._own_words([*toxic, b" ", b" bbb "], toxicity._telling(a, 20, b, 50))) == {b" scoundrel "}
+    assert not toxicity._telling(a, 20, a, 20).any() and not toxicity._telling(a, 20, np.zeros_like(a), 0).any()
+    assert toxicity._own_words([b" scoundrel x y  ", b" a"], np.ones(1 << toxicity.SLOT_BITS, bool)) == [b" scoundrel x y "]
+
+
 def test_toxicity_of_long_and_repeated_rows_and_clashing_columns(spark):
     model = toxicity.Model(b"vile words " * 9, b"mild words " * 9, [0.0] * 25, [1.0] * 25, [0.0] * 26, 0.5)
     df = spark.createDataFrame([(1, "a b c " * 200_000, 1.0), (1, "a b c", 2.0), (1, "a b c", 2.0), (None, None, None)], "doc_id long, text string, Score double")
