@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailgauge.llm import scratch
-from mailgauge.llm.wordcoder import coder, default_path, text_bytes
+from mailgauge.llm.wordcoder import coder, default_path, forget, text_bytes
 
 SEGMENT_IDS = 1_000_000
 #: Ids that one range partition of the files aims at, and the most range partitions.
 PART_IDS, MAX_PARTS = 4_000_000, 20_000
+#: Text, or ids in two planes, that a worker has in hand at once, in bytes; only one document may pass it.
+SLICE_BYTES = 2_000_000
 
 _LENS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
@@ -106,11 +108,13 @@ def encode_table(docs: DataFrame, tokenizer: str, end_id: int, kind: str, id_col
 
         code = coder(tokenizer)
         for batch in batches:
-            for at, ids, offsets in code.encode(text_bytes(batch.column(1))):
-                n = len(offsets) - 1
-                ended = np.insert(ids, offsets[1:], np.uint32(end_id))
-                own = offsets + np.arange(n + 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.diff(own)), *_planes(ended, own, kind)], ["doc_id", "n_tokens", "low", "high"])
+            for part in scratch.slices(batch, SLICE_BYTES):
+                for at, ids, offsets in code.encode(text_bytes(part.column(1)), SLICE_BYTES):
+                    n = len(offsets) - 1
+                    ended = np.insert(ids, offsets[1:], np.uint32(end_id))
+                    own = offsets + np.arange(n + 1)
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(at, n), pa.array(np.diff(own)), *_planes(ended, own, kind)], ["doc_id", "n_tokens", "low", "high"])
+        scratch.release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _ENCODED)
 
@@ -121,9 +125,11 @@ def _ranks(encoded: DataFrame, vocab: int, kind: str) -> np.ndarray:
     def count(batches):
         import pyarrow as pa
 
+        forget()
         seen = np.zeros(vocab, np.int64)
         for batch in batches:
-            seen += np.bincount(_flat(batch.column(0), batch.column(1), kind)[0], minlength=vocab)
+            for part in scratch.slices(batch, SLICE_BYTES):
+                seen += np.bincount(_flat(part.column(0), part.column(1), kind)[0], minlength=vocab)
         there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(seen[there], pa.int64())], ["id", "n"])
 
@@ -152,10 +158,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     def rank(batches):
         import pyarrow as pa
 
+        forget()
         for batch in batches:
-            places = np.searchsorted(bounds, batch.column(0).fill_null(-(2**63)).to_numpy())
-            ids, offsets = _flat(batch.column(2), batch.column(3), kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *_planes(ranks[ids], offsets, kind), pa.array(places, pa.int32())], ["doc_id", "n_tokens", "low", "high", "place"])
+            for part in scratch.slices(batch, SLICE_BYTES):
+                places = np.searchsorted(bounds, part.column(0).fill_null(-(2**63)).to_numpy())
+                ids, offsets = _flat(part.column(2), part.column(3), kind)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *_planes(ranks[ids], offsets, kind), pa.array(places, pa.int32())], ["doc_id", "n_tokens", "low", "high", "place"])
 
     def write(batches):
         import pyarrow as pa
@@ -173,14 +181,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * 5
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in _SEGMENT.split(", ")])
 
+        forget()
         for batch in batches:
-            ids, offsets = _flat(batch.column(1), batch.column(2), kind)
-            for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                own = ids[a:b]
-                if held and n + len(own) > SEGMENT_IDS:
-                    yield flush()
-                held.append((doc, own))
-                n += len(own)
+            for piece in scratch.slices(batch, SLICE_BYTES):
+                ids, offsets = _flat(piece.column(1), piece.column(2), kind)
+                for doc, a, b in zip(piece.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    own = ids[a:b]
+                    if held and n + len(own) > SEGMENT_IDS:
+                        yield flush()
+                    held.append((doc, own))
+                    n += len(own)
         if held:
             yield flush()
 
@@ -212,8 +222,10 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     def read(batches):
         import pyarrow as pa
 
+        forget()
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # one segment at a time
+                row = batch.slice(k, 1).to_pylist()[0]
                 ids = by_rank[unpack_ranks(row["control"], row["data"], row["n_ids"])]
                 lens = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
                 ends = np.cumsum(lens)

@@ -27,6 +27,9 @@ SLICE_BYTES = 8_000_000
 _EDGE = r"([a-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
 #: Stands between the words that are learnt in one call; the library gives it this one id.
 _MARK, _JOINED = "<|startoftext|>", 500
+#: Words that no normaliser changes, and a splitter that leaves words of letters whole.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+_SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def default_path() -> str:
@@ -57,7 +60,7 @@ def _by_word(spec: dict) -> bool:
 
 class WordCoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(_MARK)
@@ -65,31 +68,40 @@ class WordCoder:
         self.hint = os.path.commonprefix(self.added)
         self.vocab_size = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as f:
-            self.by_word = _by_word(json.load(f))
+            spec = json.load(f)
+        self.by_word = _by_word(spec)
+        self.lean = None
+        if self.by_word and self.mark is not None and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == _SPLITTER:
+            self.lean = Tokenizer(self.tokenizer.model)  # the same model; words of letters need neither normaliser nor splitter
+            self.lean.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.lean.add_special_tokens([_MARK])
         self.cache_words = cache_words
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lens = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        if self.mark is not None:
-            words.sort(key=lambda w: b"<|" in w)  # those that may spell a special token, at the end
-        plain = next((i for i, w in enumerate(words) if b"<|" in w), len(words)) if self.mark is not None else 0
-        joined = [_MARK.join(x.decode() for x in words[i : min(i + _JOINED, plain)]) for i in range(0, plain, _JOINED)]
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Encode new words; the number of each."""
+        letters, plain, apart = [], [], []  # apart: those that may spell a special token
+        for i, word in enumerate(words):
+            (apart if self.mark is None or "<|" in word else letters if self.lean and _LETTERS(word) else plain).append(i)
         ids, lens = [], []
-        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
-            got = np.array(e.ids, np.uint32)
-            ends = np.concatenate([np.flatnonzero(got == self.mark), [len(got)]])
-            lens.append(np.diff(ends, prepend=-1) - 1)
-            ids.append(got[got != self.mark])
-        for e in self.tokenizer.encode_batch_fast([w.decode() for w in words[plain:]], add_special_tokens=False):
+        for tokenizer, rows in ((self.lean, letters), (self.tokenizer, plain)):
+            joined = [_MARK.join([words[i] for i in rows[k : k + _JOINED]]) for k in range(0, len(rows), _JOINED)]
+            for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False) if joined else []:
+                got = np.array(e.ids, np.uint32)
+                ends = np.concatenate([np.flatnonzero(got == self.mark), [len(got)]])
+                lens.append(np.diff(ends, prepend=-1) - 1)
+                ids.append(got[got != self.mark])
+        for e in self.tokenizer.encode_batch_fast([words[i] for i in apart], add_special_tokens=False):
             ids.append(np.array(e.ids, np.uint32))
             lens.append(np.array([len(ids[-1])]))
+        order = letters + plain + apart
         at, ids, lens = len(self.index), np.concatenate(ids), np.concatenate(lens)
         need = self.used + int(lens.sum())
         while need > len(self.flat):
@@ -101,7 +113,10 @@ class WordCoder:
         self.lens[at : at + len(words)] = lens
         self.starts[at : at + len(words)] = self.used + np.cumsum(lens) - lens
         self.used = need
-        self.index.update(zip(words, range(at, at + len(words)), strict=True))
+        self.index.update(zip([words[i] for i in order], range(at, at + len(words)), strict=True))
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(at, at + len(words))
+        return number
 
     def _slice(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
@@ -109,16 +124,14 @@ class WordCoder:
 
         low = pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string()))
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(low, _EDGE, r"\1 \2"))
-        coded = pc.dictionary_encode(split.flatten().cast(pa.binary()))
+        coded = pc.dictionary_encode(split.flatten())
         words = coded.dictionary.to_pylist()
         if len(self.index) > self.cache_words:
             self._clear()
         found = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         gaps = np.flatnonzero(found < 0)
         if len(gaps):
-            new = [words[i] for i in gaps]
-            self._learn(list(new))
-            found[gaps] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+            found[gaps] = self._learn([words[i] for i in gaps.tolist()])
         found = found[coded.indices.to_numpy()]
         lens = self.lens[found]
         ends = np.cumsum(lens)
@@ -172,6 +185,14 @@ def coder(path: str) -> WordCoder:
     return WordCoder(path)
 
 
+def forget() -> None:
+    """Drop the worker's coder where no text is encoded any more, and give back what earlier tasks left."""
+    from mailgauge.llm import scratch
+
+    coder.cache_clear()
+    scratch.release()
+
+
 def text_bytes(column) -> list[bytes]:
     """An Arrow text column as bytes; null is empty."""
     import pyarrow as pa

@@ -80,6 +80,37 @@ def test_token_files_hold_all_documents_in_order(spark, odd, library, tmp_path,
     assert ranks[int(seen.argmax())] == 0
 
 
+def test_words_of_letters_get_the_librarys_ids_without_its_splitter(library):
+    import random
+
+    rng = random.Random(1)
+    code = wordcoder.WordCoder(wordcoder.default_path())
+    assert code.lean
+    signs = "aZéz ßÿ÷×ªº'sIİıKÅ \t\n\u00a0\u2003\u0301<|>019_-ñçœŒ中あ😀ǅﬁ"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(3_000)] + ["été ÉTÉ straße l'été", "a<|endoftext|>b"]
+    for at, ids, offsets in code.encode([t.encode() for t in texts], 20_000):
+        for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            assert ids[a:b].tolist() == library(texts[at + k])
+
+
+def test_token_files_take_little_text_at_once(spark, library):
+    """What a worker has in hand of a large batch: it is encoded 2 MB at a time."""
+    import pyarrow as pa
+
+    class Docs:  # hands over the function that workers run
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, f, schema: f
+
+    texts = [f"word{i % 97} and more, " * 50 * (1 + i % 7) for i in range(2_500)]
+    run = token_files.encode_table(Docs(), wordcoder.default_path(), 2, "<u1")
+    got = list(run([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])]))
+    assert sum(map(len, texts)) > 8_000_000
+    assert max(sum(len(texts[i]) for i in b.column(0).to_pylist()) for b in got) <= 2_000_000
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    ids = np.concatenate([token_files._flat(b.column(2), b.column(3), "<u1")[0] for b in got])
+    assert ids.tolist() == [x for t in texts for x in [*library(t), 2]]
+
+
 def test_token_files_of_nothing(spark, empty, tmp_path):
     token_files.write_token_files(empty, f"{tmp_path}/f")
     assert token_files.read_token_files(spark, f"{tmp_path}/f").count() == 0
