@@ -1,5 +1,6 @@
 """The stages against plain versions of what each must do with its own input."""
 
+import random
 import re
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 import corpus_pipeline
 from mailgauge.llm import scratch, toxicity, wordcoder
 from tests.llm.test_joins_vectors import appended, brute
-from tests.llm.test_text_scanners import base_pii
+from tests.llm.test_text_scanners import _prose, base_pii
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +33,26 @@ def test_names_and_columns(stages):
         assert after.columns == before.columns
 
 
+def test_toxic_documents_of_few_short_words_and_stems_go(spark, tmp_path):
+    """Held-out documents of two made-up languages; an insult is a short word in one, any word of a stem in the other."""
+    rng = random.Random(5)
+    tongues = [[a + b for a in "bdfgklmn" for b in ("a", "en", "i")], [a + b for a in "prstvwz" for b in ("o", "u", "ei")]]
+    rows = []
+    for i in range(1800):
+        tongue, toxic = int(rng.random() < 0.2), int(i % 5 == 0)
+        own = _prose(rng, tongues[tongue], rng.randint(150, 400))
+        for _ in range(3 * toxic):
+            own[rng.randrange(len(own))] = rng.choice(["yuck", "jerk"]) if tongue == 0 else "xaqo" + rng.choice(tongues[1])
+        rows.append((i, " ".join(own), toxic, tongue))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    for k in (0, 1):
+        caught, left = ([r[0] not in kept for r in held if r[2] == t and r[3] == k] for t in (1, 0))
+        assert sum(caught) > 0.9 * len(caught) and sum(left) < 0.05 * len(left)
+
+
 def test_toxic_documents_go(spark, sf, stages):
     _, before, after = stages[0]
     model = toxicity.fit(before, spark.read.parquet(f"{sf}/labels.parquet"), lambda c: ~toxicity.held_out(c))
