@@ -47,10 +47,13 @@ def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     sizes = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = sizes - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    control = codes[::4] | (codes[1::4] << 2) | (codes[2::4] << 4) | (codes[3::4] << 6)
     widest = int(sizes.max(initial=1))
-    data = ranks.view(np.uint8).reshape(-1, 4)[:, :widest][np.arange(widest) < sizes[:, None]]
-    return control.tobytes(), data.tobytes()
+    parts, there = np.empty((len(ranks), widest), np.uint8), np.empty((len(ranks), widest), np.bool_)
+    for k in range(widest):
+        parts[:, k] = ranks >> np.uint32(8 * k)
+        there[:, k] = sizes > k
+    return control.tobytes(), np.compress(there.ravel(), parts.ravel()).tobytes()
 
 
 def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:

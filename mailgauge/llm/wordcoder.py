@@ -3,8 +3,8 @@
 A tokenizer whose normaliser and pre-tokenizer never look across white space gives
 the same ids for a text as for its white-space separated words one after another.
 For such tokenizers the library encodes each distinct word once per worker (up to
-``CACHE_WORDS`` words, then the cache starts anew) and numpy strings the words' ids
-together; any other tokenizer file goes to the library text by text, and so do texts that
+``CACHE_WORDS`` words, then the cache starts anew) and numpy finds known words and strings
+their ids together; any other tokenizer file goes to the library text by text, and so do texts that
 spell an added token (in any case). Both give the library's ids for whole texts, as a
 tokenizer just loaded gives them: an added token in a text is that token.
 """
@@ -15,11 +15,10 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 
-#: Words a worker remembers: about 100 MB.
+#: Words a worker remembers: about 40 MB.
 CACHE_WORDS = 500_000
 #: Bytes of text that are split at once.
 SLICE_BYTES = 8_000_000
@@ -30,6 +29,10 @@ _MARK, _JOINED = "<|startoftext|>", 500
 #: Words that no normaliser changes, and a splitter that leaves words of letters whole.
 _LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes of a word that fit into its key, and the first 0 to 8 bytes of a 64-bit number.
+_KEY_BYTES = 23
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def default_path() -> str:
@@ -58,6 +61,86 @@ def _by_word(spec: dict) -> bool:
     )
 
 
+class _Words:
+    """Numbers of words; an Arrow array of distinct words is looked up at once, with no Python object a word.
+
+    A word of at most ``_KEY_BYTES`` bytes is its own key, its bytes and its length in three 64-bit numbers, in an
+    open-addressed table that is at most half full. Longer words are in a dictionary.
+    """
+
+    def __init__(self):
+        self.slots = np.full(1 << 15, -1, np.int32)
+        self.keys = np.zeros((1 << 14, 3), np.uint64)
+        self.long: dict[str, int] = {}
+        self.n = 0
+
+    @staticmethod
+    def _keys(words) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all words, and the places of those that are too long for one."""
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, "<i4")[words.offset : words.offset + len(words) + 1]
+        starts, lens = offsets[:-1], np.diff(offsets)
+        padded = bytes(memoryview(data)[: offsets[-1]] if data else b"") + bytes(24)
+        view = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        keys = np.empty((len(words), 3), np.uint64)
+        for j in range(3):
+            keys[:, j] = view[starts + 8 * j] & _HEADS[np.clip(lens - 8 * j, 0, 8)]
+        keys[:, 2] |= lens.astype(np.uint64) << np.uint64(56)
+        return keys, np.flatnonzero(lens > _KEY_BYTES)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys[:, 0] * _MIX[0]) ^ (keys[:, 1] * _MIX[1]) ^ (keys[:, 2] * _MIX[2])
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[0]
+        return (mixed >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, words) -> np.ndarray:
+        """The number of each word, -1 for unknown ones."""
+        import pyarrow as pa
+
+        found = np.full(len(words), -1, np.int64)
+        if not len(words):
+            return found
+        keys, long = self._keys(words)
+        left = np.delete(np.arange(len(words)), long)
+        places = self._places(keys[left])
+        while len(left):
+            at = self.slots[places]
+            there = at >= 0
+            own, known = keys[left], self.keys[at]
+            same = there & (own[:, 0] == known[:, 0]) & (own[:, 1] == known[:, 1]) & (own[:, 2] == known[:, 2])
+            found[left[same]] = at[same]
+            on = there & ~same
+            left, places = left[on], (places[on] + 1) & (len(self.slots) - 1)
+        if len(long):
+            found[long] = [self.long.get(w, -1) for w in words.take(pa.array(long)).to_pylist()]
+        return found
+
+    def _put(self, numbers: np.ndarray) -> None:
+        places = self._places(self.keys[numbers])
+        while len(numbers):
+            free = self.slots[places] < 0
+            self.slots[places[free]] = numbers[free]
+            on = self.slots[places] != numbers  # taken, or lost to another of these words
+            numbers, places = numbers[on], (places[on] + 1) & (len(self.slots) - 1)
+
+    def add(self, words, numbers: np.ndarray) -> None:
+        """Take distinct unknown words; their numbers are the next ones in any order."""
+        import pyarrow as pa
+
+        self.n += len(words)
+        while self.n > len(self.keys):
+            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)])
+        keys, long = self._keys(words)
+        self.keys[numbers] = keys
+        self.long.update(zip(words.take(pa.array(long)).to_pylist(), numbers[long].tolist(), strict=True))
+        fresh = np.delete(numbers, long)
+        if 2 * self.n > len(self.slots):
+            while 2 * self.n > len(self.slots):
+                self.slots = np.full(2 * len(self.slots), -1, np.int32)
+            fresh = np.delete(np.arange(self.n), np.fromiter(self.long.values(), np.int64))
+        self._put(fresh)
+
+
 class WordCoder:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -79,14 +162,14 @@ class WordCoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.words = _Words()
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lens = np.zeros(1 << 14, np.int64)
         self.used = 0
 
     def _learn(self, words: list[str]) -> np.ndarray:
-        """Encode new words; the number of each."""
+        """Encode new words; the number of each, which ``words`` does not know yet."""
         letters, plain, apart = [], [], []  # apart: those that may spell a special token
         for i, word in enumerate(words):
             (apart if self.mark is None or "<|" in word else letters if self.lean and _LETTERS(word) else plain).append(i)
@@ -102,7 +185,7 @@ class WordCoder:
             ids.append(np.array(e.ids, np.uint32))
             lens.append(np.array([len(ids[-1])]))
         order = letters + plain + apart
-        at, ids, lens = len(self.index), np.concatenate(ids), np.concatenate(lens)
+        at, ids, lens = self.words.n, np.concatenate(ids), np.concatenate(lens)
         need = self.used + int(lens.sum())
         while need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -113,7 +196,6 @@ class WordCoder:
         self.lens[at : at + len(words)] = lens
         self.starts[at : at + len(words)] = self.used + np.cumsum(lens) - lens
         self.used = need
-        self.index.update(zip([words[i] for i in order], range(at, at + len(words)), strict=True))
         number = np.empty(len(words), np.int64)
         number[order] = np.arange(at, at + len(words))
         return number
@@ -125,13 +207,14 @@ class WordCoder:
         low = pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string()))
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(low, _EDGE, r"\1 \2"))
         coded = pc.dictionary_encode(split.flatten())
-        words = coded.dictionary.to_pylist()
-        if len(self.index) > self.cache_words:
+        if self.words.n > self.cache_words:
             self._clear()
-        found = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        found = self.words.find(coded.dictionary)
         gaps = np.flatnonzero(found < 0)
         if len(gaps):
-            found[gaps] = self._learn([words[i] for i in gaps.tolist()])
+            new = coded.dictionary.take(pa.array(gaps))
+            found[gaps] = self._learn(new.to_pylist())
+            self.words.add(new, found[gaps])
         found = found[coded.indices.to_numpy()]
         lens = self.lens[found]
         ends = np.cumsum(lens)

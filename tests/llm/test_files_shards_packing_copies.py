@@ -93,6 +93,57 @@ def test_words_of_letters_get_the_librarys_ids_without_its_splitter(library):
             assert ids[a:b].tolist() == library(texts[at + k])
 
 
+def test_known_words_are_found_by_their_bytes():
+    """Words of 0 to 40 bytes, some apart only in zero bytes at their end, in a table that grows."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    words = ["", "\0", "a", "a\0", "a\0\0", *("x" * n + end for n in range(20, 27) for end in ("", "\0", "é", "y"))]
+    words = list(dict.fromkeys(words + ["".join(rng.choices("abé\0", k=rng.randint(0, 20))) for _ in range(60_000)]))
+    table = wordcoder._Words()
+    for at in range(0, len(words), 7_000):
+        new = pa.array(["skipped", *words[at : at + 7_000]])[1:]
+        assert (table.find(new) == -1).all()
+        table.add(new, np.random.default_rng(at).permutation(np.arange(at, at + len(new))))
+        want = [n for a in range(0, at + len(new), 7_000) for n in np.random.default_rng(a).permutation(np.arange(a, min(a + 7_000, len(words))))]
+        assert table.find(pa.array(words[: at + len(new)])).tolist() == want
+    assert table.n == len(words) > 30_000
+    assert (table.find(pa.array([w + "\0" * 41 for w in words])) == -1).all()
+    assert len(table.find(pa.array([], pa.string()))) == 0
+
+
+def test_words_with_zero_bytes_and_long_words_get_the_librarys_ids(library):
+    texts = ["a a\0 a\0\0 \0 \0\0", " ".join("x" * n + end for n in range(20, 27) for end in ("", "\0", "é", "É", "."))]
+    code = wordcoder.WordCoder(wordcoder.default_path())
+    for _ in range(2):
+        (_, ids, offsets), = code.encode([t.encode() for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [library(t) for t in texts]
+
+
+def test_known_words_cost_less_than_one_python_object_each():
+    """op1 was over its CPU seconds: each slice made its distinct words Python strings to look them up."""
+    import time
+
+    import pyarrow as pa
+
+    words = pa.array([f"{i * 7919:x}word" for i in range(200_000)])
+    table = wordcoder._Words()
+    table.add(words, np.arange(len(words)))
+    index = dict(zip(words.to_pylist(), range(len(words)), strict=True))
+
+    def seconds(look):
+        took = []
+        for _ in range(5):
+            at = time.process_time()
+            look()
+            took.append(time.process_time() - at)
+        return min(took)
+
+    assert seconds(lambda: table.find(words)) < 0.7 * seconds(lambda: list(map(index.get, words.to_pylist())))
+
+
 def test_token_files_take_little_text_at_once(spark, library):
     """What a worker has in hand of a large batch: it is encoded 2 MB at a time."""
     import pyarrow as pa
