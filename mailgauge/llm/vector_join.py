@@ -4,7 +4,9 @@ Vectors of one label link when their cosine in double precision reaches the thre
 on unit vectors that is a distance of at most eps = sqrt(2 - 2t). Equal vectors of one label are one
 class, so copies cost one row. Classes are projected on the leading principal directions
 (orthonormal, so distances can only shrink), get grid cells of side eps there, and are
-sorted by cells: the epsilon grid order. The order is cut into blocks. Two blocks meet only
+sorted by cells: the epsilon grid order. The order is cut into blocks. All blocks of a dense group meet, so where
+many small partitions leave many small blocks the order is numbered over all partitions and cut by these numbers
+instead. Two blocks meet only
 if they share a label and a cell (with its neighbours) in the first ``KEYED`` directions, and
 if the boxes of their projections are at most eps apart. So a first cell that holds many blocks is cut by the next directions. A pair of blocks is joined by halving
 its sequence intervals; interval pairs whose boxes are further apart than eps are skipped,
@@ -68,7 +70,8 @@ def _directions(classes: DataFrame) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), dim, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["dim", "at", "value"])
 
     found: dict[int, np.ndarray] = {}
-    for row in classes.select("vector").mapInArrow(add, "dim int, at int, value double").groupBy("dim", "at").agg(F.sum("value").alias("value")).toLocalIterator():
+    sums = classes.select("vector").mapInArrow(add, "dim int, at int, value double").groupBy("dim", "at").agg(F.sum("value").alias("value"))
+    for row in sums.coalesce(8).toLocalIterator():  # a job for each partition
         dim = row["dim"]
         found.setdefault(dim, np.zeros(1 + dim + dim * dim))[row["at"]] = row["value"]
     out = {}
@@ -173,14 +176,27 @@ def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id
 
         for batch in batches:
             for r in batch.to_pylist():
-                if held and (len(held) >= BLOCK_ROWS or r["label"] != held[0]["label"] or len(r["vector"]) != len(held[0]["vector"])):
+                if held and (len(held) >= BLOCK_ROWS or r["chunk"] != held[0]["chunk"] or r["label"] != held[0]["label"] or len(r["vector"]) != len(held[0]["vector"])):
                     yield flush()
                 held.append(r)
         if held:
             yield flush()
 
-    blocks = gridded.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(block, _BLOCK)
-    blocks = scratch.saved(blocks.withColumn("block", F.monotonically_increasing_id()), "op5-blocks")
+    cut = lambda rows: scratch.save(rows.mapInArrow(block, _BLOCK).withColumn("block", F.monotonically_increasing_id()), "op5-blocks")
+    ordered = gridded.repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks, small = cut(ordered.withColumn("chunk", F.lit(0)))
+    made, n, labels = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("nodes") / 8), F.lit(0)), F.count_distinct("label", "dim")).first()
+    if made > 2 * (n // BLOCK_ROWS + labels):
+        ordered, temp = scratch.save(ordered.withColumn("at", F.monotonically_increasing_id()), "op5-order")
+        part = F.shiftright("at", 33).cast("int")  # as that function numbers rows
+        firsts, before = [], 0
+        for row in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():  # one row per partition
+            firsts.append((row["part"], before - (row["part"] << 33)))
+            before += row["n"]
+        firsts = ordered.sparkSession.createDataFrame(firsts, "part int, first long")
+        numbered = ordered.withColumn("part", part).join(F.broadcast(firsts), "part").withColumn("chunk", F.floor((F.col("at") + F.col("first")) / BLOCK_ROWS))
+        blocks, _ = cut(numbered.drop("part", "first").repartition("chunk").sortWithinPartitions("chunk", "at"))
+        scratch.drop(ordered.sparkSession, temp, small)
 
     meta = blocks.select("block", "label", "dim", "cells", "low", "high")
     # Vectors shorter than KEYED have fewer directions; vectors of one length have the same.
