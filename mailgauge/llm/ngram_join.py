@@ -32,7 +32,6 @@ named columns are read.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,7 +48,7 @@ FILTER_BITS = 1 << 25
 _WORDS = 200_000
 
 
-@lru_cache(maxsize=1)
+@scratch.kept
 def _hashes() -> dict[bytes, int]:
     """64-bit hashes of the words a worker met last."""
     return {}

@@ -34,8 +34,8 @@ from mailgauge.llm import scratch
 from mailgauge.llm.wordcoder import coder, default_path, text_bytes
 
 PART_PIECES, FAN_IN = 200_000, 8
-#: Text that a worker encodes at once: workers may still hold what earlier stages left.
-SLICE_BYTES = 2_000_000
+#: Text that a worker has in hand at once, as the JVM beside it may be near its limit after earlier stages.
+SLICE_BYTES = 500_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = f"{_PIECE}, part long, bin long, offset long, free long, n_bins long, gap long, ahead long"
 
@@ -49,21 +49,23 @@ def cut_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = No
 
         code = coder(tokenizer)
         for batch in batches:
-            for at, ids, offsets in code.encode(text_bytes(batch.column(1)), SLICE_BYTES):
-                rows, piece, start, length, crc = [], [], [], [], []
-                for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                    own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
-                    for i, s in enumerate(range(0, len(own), capacity)):
-                        part = own[s : s + capacity]
-                        rows.append(at + k)
-                        piece.append(i)
-                        start.append(s)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+            for part in scratch.slices(batch, SLICE_BYTES):
+                for at, ids, offsets in code.encode(text_bytes(part.column(1)), SLICE_BYTES):
+                    rows, piece, start, length, crc = [], [], [], [], []
+                    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                        own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
+                        for i, s in enumerate(range(0, len(own), capacity)):
+                            cut = own[s : s + capacity]
+                            rows.append(at + k)
+                            piece.append(i)
+                            start.append(s)
+                            length.append(len(cut))
+                            crc.append(zlib.crc32(cut.tobytes()))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                        ["doc_id", "piece", "start", "length", "ids_crc32"],
+                    )
+        scratch.release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECE)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,28 @@ def release() -> None:
         trim(0)
 
 
+_KEPT: list = []
+
+
+def kept(make):
+    """What a Python worker keeps from task to task, the last one made; it is made where no other function's is left.
+
+    Workers serve all stages, and one stage's words are of no use to the next.
+    """
+
+    @wraps(make)
+    def anew(*args):
+        for other in _KEPT:
+            if other is not own:
+                other.cache_clear()
+        release()
+        return make(*args)
+
+    own = lru_cache(maxsize=1)(anew)
+    _KEPT.append(own)
+    return own
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it: a name that no column of ``df`` has in any case."""
     taken = {c.lower() for c in df.columns}

@@ -270,6 +270,8 @@ def train(texts: list[bytes], labels: list[int], share: float) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, is_training, toxic_docs: int = TOXIC_DOCS, plain_docs: int = PLAIN_DOCS, toxic_bytes: int = TOXIC_BYTES, plain_bytes: int = PLAIN_BYTES) -> Model:
     """Train on a bounded sample of the labelled rows of ``docs``; ``is_training`` maps an id column to a condition."""
+    import pyarrow as pa
+
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(is_training(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -286,7 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, is_training, toxic_docs: int = TOXIC
             chosen.append((r["doc_id"], r["version"]))
     if not chosen:
         return train([], [], n.get(1, 0) / total if total else 0.0)
-    wanted = docs.sparkSession.createDataFrame(chosen, "doc_id long, version long")
+    chosen_ids, versions = (pa.array(x, pa.int64()) for x in zip(*chosen, strict=True))
+    wanted = docs.sparkSession.createDataFrame(pa.table({"doc_id": chosen_ids, "version": versions}))  # of a list it would start Python workers, which stay
     rows = own.withColumn("version", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "version"]).dropDuplicates(["doc_id"]).orderBy(mix, "doc_id").collect()  # at most the bytes above
     return train([r["text"].encode() for r in rows], [r["toxic"] for r in rows], n.get(1, 0) / total if total else 0.0)
 

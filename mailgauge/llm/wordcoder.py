@@ -14,10 +14,11 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from mailgauge.llm import scratch
+
 #: Words a worker remembers: about 40 MB.
 CACHE_WORDS = 500_000
 #: Bytes of text that are split at once.
@@ -255,23 +256,15 @@ class WordCoder:
             at = end
 
 
-@lru_cache(maxsize=1)
+@scratch.kept
 def coder(path: str) -> WordCoder:
     """One coder for a worker process, so that its cache serves all its tasks."""
-    import gc
-
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()  # what this worker's earlier tasks left
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordCoder(path)
 
 
 def forget() -> None:
     """Drop the worker's coder where no text is encoded any more, and give back what earlier tasks left."""
-    from mailgauge.llm import scratch
-
     coder.cache_clear()
     scratch.release()
 

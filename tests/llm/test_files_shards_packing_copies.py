@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mailgauge.llm import exact_dedup, packing, sharding, token_files, wordcoder
+from mailgauge.llm import exact_dedup, ngram_join, packing, sharding, token_files, wordcoder
 
 ODD = [
     (1, "It's, we'll. I'M x.y, 12,3. 4,"),
@@ -254,6 +254,42 @@ def test_certified_partitions_stay_and_losers_meet_others(spark):
     assert report[0]["gapped"] > 0 and [r["bins"] for r in report] == sorted((r["bins"] for r in report), reverse=True) and report[-1]["bins"] < report[0]["bins"]
 
 
+class _Worker:
+    """Stands for a table and hands over the function that workers run."""
+
+    select = lambda self, *columns: self
+    mapInArrow = lambda self, f, schema: f
+
+
+def test_packing_takes_little_text_at_once(spark, library):
+    """What a worker has in hand of a large batch; a text that is longer than that comes alone."""
+    import pyarrow as pa
+
+    texts = [f"word{i % 97} and more, " * 50 * (1 + i % 7) for i in range(600)] + ["one long text " * 50_000, None, "end"]
+    run = packing.cut_pieces(_Worker())
+    got = list(run([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])]))
+    assert max(sum(len(texts[i] or "") for i in set(b.column(0).to_pylist()) if i != 600) for b in got) <= 500_000
+    want = [(i, len(x[s : s + 2048]), crc(x[s : s + 2048])) for i, x in enumerate([*library(t), 0] for t in texts) for s in range(0, len(x), 2048)]
+    assert [(r["doc_id"], r["length"], r["ids_crc32"]) for b in got for r in b.to_pylist()] == want
+
+
+def test_a_worker_gives_back_what_other_stages_left(spark):
+    """The words of the n-gram join go when texts are packed, the coder goes when texts are compared; packing gives memory back."""
+    import pyarrow as pa
+
+    texts = pa.array(["a b c", "b c d"])
+    ngram_join.word_hashes(texts)
+    known, coder = ngram_join._hashes(), wordcoder.coder(wordcoder.default_path())
+    assert known and ngram_join._hashes() is not known
+    assert wordcoder.coder(wordcoder.default_path()) is not coder
+    assert wordcoder.coder(wordcoder.default_path()) is wordcoder.coder(wordcoder.default_path())
+    given = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("mailgauge.llm.scratch.release", lambda: given.append(1))
+        list(packing.cut_pieces(_Worker())([pa.RecordBatch.from_arrays([pa.array([1, 2]), texts], ["doc_id", "text"])]))
+    assert given
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(packing.cut_pieces(empty))[0].count() == 0
 
